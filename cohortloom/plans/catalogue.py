@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortloom.plans import training_core
+from cohortloom.plans import reference_queries, training_core
 
-_PARTS = (training_core,)
+_PARTS = (reference_queries, training_core)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
