@@ -27,7 +27,7 @@ def normalised(c: Column, noise: str, rewrites: list[tuple[str, str]]) -> Column
 
 
 def map_to_canon(
-    values: DataFrame, field: str, value: str, reference: DataFrame, rules: dict[str, tuple[str, list[tuple[str, str]]]], *, n: int = 2, threshold: float = 0.62, margin: float = 0.06
+    values: DataFrame, field: str, value: str, reference: DataFrame, rules: dict[str, tuple[str, list[tuple[str, str]]]], *, n: int = 2, threshold: float | dict[str, float] = 0.62, margin: float = 0.06
 ) -> DataFrame:
     """The entry that each distinct (field, value) names: ``field``, ``value``, ``entry`` (or ``UNMATCHED``), ``score``,
     ``runner_up`` (the score of the next entry).
@@ -35,7 +35,7 @@ def map_to_canon(
     ``reference``: field, entry, surface (spellings of the entry, in normal form). ``rules``: by field, noise words and
     rewrites that bring a value to normal form. Values are made distinct first, so work follows the distinct values. An
     n-gram index of the surfaces (gram to surface and weight) gives the candidates; the score is the cosine of weighted
-    gram sets, a gram weighing ln(1 + entries / entries with it); an entry is accepted at ``threshold`` or more if it is
+    gram sets, a gram weighing ln(1 + entries / entries with it); an entry is accepted at ``threshold`` (one, or one by field) or more if it is
     ``margin`` ahead of every other entry. A value equal to a surface scores 1. Nulls are no values; a value that is empty in normal form is
     unmatched; fields without a reference are unmatched. The reference must fit into memory (it is an authority list);
     its join is left to the optimizer."""
@@ -59,5 +59,9 @@ def map_to_canon(
     by_entry = scored.groupBy("field", "norm", "entry").agg(F.max("score").alias("score"))
     ranks = by_entry.groupBy("field", "norm").agg(F.sort_array(F.collect_list(F.struct("score", "entry")), asc=False).alias("r"))  # one an entry: as long as the reference list
     top, second = F.get("r", F.lit(0)), F.coalesce(F.get("r", F.lit(1))["score"], F.lit(0.0))
-    best = ranks.select("field", "norm", top["score"].alias("score"), second.alias("runner_up"), F.when((top["score"] >= threshold) & (top["score"] - second >= margin), top["entry"]).alias("entry"))
+    if isinstance(threshold, dict):
+        least = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in threshold.items() for x in kv]), F.col("field")), F.lit(1.0))
+    else:
+        least = F.lit(threshold)
+    best = ranks.select("field", "norm", top["score"].alias("score"), second.alias("runner_up"), F.when((top["score"] >= least) & (top["score"] - second >= margin), top["entry"]).alias("entry"))
     return distinct.join(best, ["field", "norm"], "left").select("field", "value", F.coalesce("entry", F.lit(UNMATCHED)).alias("entry"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("runner_up", F.lit(0.0)).alias("runner_up"))

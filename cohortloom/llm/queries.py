@@ -62,7 +62,7 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Marks of editing around a free-typed value, and spellings in normal form of the entries of ref_values.
-_EDITS = r"\[[^\]]*\]|^(?:->|call=|=)|^(?:result|initial|pam50|subtype|call|status)\s*:|[;*?'\"]+|; array$"
+_EDITS = r"[;,/] *array *$|\[[^\]]*\]|^(?:->|call=|=)|^(?:result|initial|pam50|subtype|call|status)\s*:|[;*?'\"]+"
 RULES = {
     "stage": (
         _EDITS + r"|\b(?:ajcc\s*[678]?|path\.?|revised|clinical|tumour|tumor|at entry)(?![a-z0-9])|[(),]",
@@ -83,6 +83,8 @@ SURFACES = {
     ("subtype_pam50", "BASAL"): ["basal", "basal like"], ("subtype_pam50", "HER2"): ["her2", "her2 enriched"], ("subtype_pam50", "LUMA"): ["luminal a"], ("subtype_pam50", "LUMB"): ["luminal b"], ("subtype_pam50", "NORMAL"): ["normal", "normal like", "normal breast like"],
 }
 MAPPED = ("stage", "subtype_er", "subtype_pam50")
+#: Least cosine by field: "grade 2" must not pass for "stage 2", so stages, told apart by one word, need more than the rest.
+LEAST = {"stage": 0.62, "subtype_er": 0.45, "subtype_pam50": 0.45}
 
 
 def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +98,7 @@ def mapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = table(spark, sf_dir, "ref_values").select("field", "entry")
     known = spark.createDataFrame([(f, e, s) for (f, e), forms in SURFACES.items() for s in forms], "field string, entry string, surface string")
     surfaces = ref.join(known, ["field", "entry"]).unionByName(ref.join(known, ["field", "entry"], "left_anti").withColumn("surface", F.lower("entry")))
-    return map_to_canon(typed_values(spark, sf_dir), "field", "value", surfaces, RULES)
+    return map_to_canon(typed_values(spark, sf_dir), "field", "value", surfaces, RULES, threshold=LEAST)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
