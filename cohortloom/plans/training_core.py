@@ -23,7 +23,7 @@ def missing_cells() -> dict[str, F.Column]:
 def filled_clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clinical with grade, ki67 and stage filled from records alike in cohort, subtype and period."""
     df, gone = table(spark, sf_dir, "clinical"), missing_cells()
-    romans = F.element_at(F.array(*map(F.lit, ("I", "II", "III", "IV"))), stage_code("stage"))
+    romans = F.get(F.array(*map(F.lit, ("I", "II", "III", "IV"))), stage_code("stage") - 1)
     return fill_missing(
         df,
         {"grade": F.when(~gone["grade"], F.col("grade")), "ki67": F.when(~gone["ki67"], F.col("ki67"))},
