@@ -66,9 +66,12 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, by: Sequence[str] = ())
     return d.withColumn(out, F.when(F.col("__has"), F.least(F.lit(1.0), F.min("__b").over(down)))).drop("__b", "__has")
 
 
-def delta_to_previous(df: DataFrame, value: str, order: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Difference to the previous row by ``order``; the first row keeps its value."""
+def delta_to_previous(df: DataFrame, value: str, order: str, out: str, by: Sequence[str] = (), relative: bool = False) -> DataFrame:
+    """Difference to the previous row by ``order`` (the first row keeps its value); ``relative``: divided by the previous
+    value, as gains in consensus area are given (the first row is null)."""
     before = F.lag(value).over(W.partitionBy(*by).orderBy(order))
+    if relative:
+        return df.withColumn(out, (F.col(value) - before) / F.nullif(before.cast("double"), F.lit(0.0)))
     return df.withColumn(out, F.coalesce(F.col(value) - before, F.col(value)))
 
 

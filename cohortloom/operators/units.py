@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.functions.clean import BLANK
 from cohortloom.functions.quantity import Unit, parse_unit
@@ -13,7 +14,7 @@ from cohortloom.session import stage
 #: A number: digits with points or commas inside.
 NUMBER = r"[-+]?[0-9](?:[0-9.,]*[0-9])?"
 
-UNIT_TYPE = "struct<dims:array<int>,scale:double,offset:double,name:string>"
+UNIT_TYPE = T.StructType([T.StructField("dims", T.ArrayType(T.IntegerType())), T.StructField("scale", T.DoubleType()), T.StructField("offset", T.DoubleType()), T.StructField("name", T.StringType())])
 
 
 @F.pandas_udf(UNIT_TYPE)
