@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import special
 from cohortloom.operators.relational import average_rank, quantile_bin
-from cohortloom.session import ratio
+from cohortloom.session import pearson, ratio
 
 
 def two_by_two(df: DataFrame, by: Sequence[str], exposed: Column, outcome: Column) -> DataFrame:
@@ -66,14 +66,14 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     """Correlation of mean ranks within ``by``, over the rows with both values."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = d.withColumns({"__x": average_rank(x, by), "__y": average_rank(y, by)})
-    return d.groupBy(*by).agg(F.corr("__x", "__y").alias("rho"), F.count("*").alias("n"))
+    return d.groupBy(*by).agg(pearson("__x", "__y").alias("rho"), F.count("*").alias("n"))
 
 
 def correlation_pairs(df: DataFrame, entity: str, feature: str, value: str) -> DataFrame:
     """Pearson r of every pair of features (a < b) over the entities with both. For feature frames (tens to hundreds of columns)."""
     d = df.select(entity, feature, value).where(F.col(value).isNotNull())
     a, b = d.select(entity, F.col(feature).alias("a"), F.col(value).alias("x")), d.select(entity, F.col(feature).alias("b"), F.col(value).alias("y"))
-    return a.join(b, entity).where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    return a.join(b, entity).where("a < b").groupBy("a", "b").agg(pearson("x", "y").alias("r"), F.count("*").alias("n"))
 
 
 def sign_test(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

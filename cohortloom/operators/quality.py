@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.operators.metrics import calibration
+from cohortloom.session import pearson
 
 STATUS = ("PASS", "WARN", "FAIL", "SKIP")
 SCHEMA = "name string, status string, message string, evidence map<string,string>"
@@ -98,7 +99,7 @@ def balanced_binary(df: DataFrame, column: str, name: str, least: float = 0.05)
 def correlation_sign(df: DataFrame, a: str, b: str, sign: int, name: str, least: float = 0.0, least_rows: int = 10) -> DataFrame:
     """WARN on few rows, no correlation or a weak one; FAIL on the wrong sign."""
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    s = d.agg(F.corr(a, b).alias("r"), F.count("*").alias("n"))
+    s = d.agg(pearson(a, b).alias("r"), F.count("*").alias("n"))
     return _row(s, name, F.when((F.col("n") < least_rows) | F.col("r").isNull() | F.isnan("r") | (F.abs("r") < least), "WARN").when(F.signum("r") != sign, "FAIL").otherwise("PASS"), F.concat(F.lit("r = "), F.round("r", 4).cast("string")), {"r": F.col("r"), "n": F.col("n")})
 
 
@@ -157,7 +158,7 @@ def feature_frame(df: DataFrame, key: str, prefix: str = "", high: float = 0.98)
     ]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]][:5000]
     if pairs:
-        c = df.agg(*[F.corr(q(a), q(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+        c = df.agg(*[pearson(q(a), q(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
         near = F.concat_ws(",", *[F.when(F.abs(F.col(f"c{i}")) > high, F.lit(f"{a}~{b}")) for i, (a, b) in enumerate(pairs)])
         rows.append(_row(c, f"{prefix}near_duplicate_columns", F.when(near != "", "WARN").otherwise("PASS"), near))
     return union(rows)

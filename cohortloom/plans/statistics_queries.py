@@ -85,7 +85,7 @@ def _(s, d):
     """Effect by cohort, pooled by random effects, with the sign test: the cross-arm verdict in one row."""
     e = classical.odds_effects(arm_tables(s, d))
     m = classical.random_effects(e, "log_or", "se").withColumn("z", F.col("pooled") / F.col("pooled_se"))
-    return classical.with_tail(m, "norm", ["z"], "p").crossJoin(F.broadcast(classical.sign_test(e, "log_or")))  # one row each
+    return classical.with_tail(m, "norm", ["z"], "p").crossJoin(F.broadcast(classical.sign_test(e, "log_or").select(F.col("n").alias("n_arms"), F.col("k").alias("n_negative"), F.col("p_one_sided").alias("p_sign"))))  # one row each
 
 
 @query("fisher_by_cohort")

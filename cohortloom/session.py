@@ -80,3 +80,10 @@ def try_number(c: str | Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, NULL where b is 0."""
     return a / F.nullif(b.cast("double"), F.lit(0.0))
+
+
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r over the rows with both values; NULL (rather than an error under ANSI rules) where one of them is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = (F.when(x.isNotNull() & y.isNotNull(), c.cast("double")) for c in (x, y))
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -27,12 +27,14 @@ def test_benjamini_hochberg_known_values(spark):
 
 
 def test_delta_of_areas_known_values(spark):
-    # fixed values: areas of k = 2..6 and their relative gains
+    # fixed values: areas of k = 2..6 and their relative gains; as published, gains and areas agree to 2e-7 only (the area of
+    # k = 4 differs in its seventh digit from the one its gain implies), so the exact comparison is with the areas at hand
     area = [0.4908889777941928, 0.598865005187976, 0.6589948329242471, 0.7035298169697103, 0.7332371342301041]
     gain = [None, 0.219960178936942, 0.10040648078509297, 0.06758000999279386, 0.04222609553117603]
     d = spark.createDataFrame([(k + 2, a) for k, a in enumerate(area)], "k int, a double")
     got = [r["g"] for r in rows(relational.delta_to_previous(d, "a", "k", "g", relative=True), "k")]
-    assert got[0] is None and got[1:] == pytest.approx(gain[1:], abs=1e-12)
+    assert got[0] is None and got[1:] == pytest.approx(gain[1:], abs=2e-7)
+    assert got[1:] == pytest.approx([b / a - 1 for a, b in zip(area, area[1:], strict=False)], abs=1e-12)
 
 
 def test_joins_and_ranks(spark):
@@ -42,7 +44,7 @@ def test_joins_and_ranks(spark):
     assert rows(relational.overlay_join(a, b, "id", ["v"]), "id") == [{"id": 1, "v": 7, "only_a": "x"}, {"id": 2, "v": 5, "only_a": "y"}]
     d = spark.createDataFrame([(i, v) for i, v in enumerate([3.0, 1.0, 3.0, None, 2.0])], "i int, v double").withColumn("g", F.lit(1))
     assert [r["p"] for r in rows(relational.percent_rank_average(d, "v", ["g"], "p"), "i")] == [0.875, 0.25, 0.875, None, 0.5]
-    assert [r["bin"] for r in rows(relational.quantile_bin(d, "v", ["g"]), "i")] == ["high", "low", "high", None, "low"] or True
+    assert [r["bin"] for r in rows(relational.quantile_bin(d, "v", ["g"]), "i")] == ["high", "low", "high", None, "mid"]
     assert [r["n"] for r in rows(relational.unique_names(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i int, s string"), "s", "i", "n"), "i")] == ["a", "a_2", "b"]
     f = spark.createDataFrame([(1, 2, 3)], "sig__a int, gene__b int, clin__c int")
     assert relational.ablation_grid(f, {"immune": ["sig__"], "clinical": ["clin__"]}, {"both": ["immune", "clinical"]})["both"].columns == ["sig__a", "clin__c"]
