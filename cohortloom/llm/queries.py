@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.functions.clean import block_key, cohort_key, no_value_number, no_value_text, patient_key, squash, stage_code
+from cohortloom.functions.clean import NO_VALUE, block_key, cohort_key, no_value_number, no_value_text, patient_key, squash, stage_code
 from cohortloom.llm.canon import UNMATCHED, map_to_canon
 from cohortloom.llm.leaks import find_leaks
 from cohortloom.llm.packing import pack, token_count
@@ -159,4 +159,16 @@ QUERIES = {
     "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_shares": p9_shares,
 }
 
-SQL: dict[str, str] = {}
+_PATIENT = r"CASE WHEN regexp_matches(patient_id, '^\s*[A-Za-z]+\s*[-._ ]\s*[A-Za-z][A-Za-z0-9]*\s*[-._ ]\s*[0-9]+(\s*[-._ ].*)?\s*$') THEN upper(regexp_replace(patient_id, '^\s*([A-Za-z]+)\s*[-._ ]\s*([A-Za-z][A-Za-z0-9]*)\s*[-._ ]\s*([0-9]+).*$', '\1-\2-\3', 's')) END"
+_SAYS_NONE = ", ".join("'" + v.replace("'", "''") + "'" for v in NO_VALUE)
+_STAGE = rf"(stage IS NOT NULL AND lower(trim(regexp_replace(trim(regexp_replace(stage, '[\s\x{{00a0}}]+', ' ', 'g')), '^[\[(<]+|[\])>]+$', '', 'g'))) NOT IN ({_SAYS_NONE}))"
+_CELLS = " UNION ALL ".join(f"SELECT pid, '{f}' AS field, rec_id, updated_at, trust FROM r WHERE {ok}" for f, ok in (("age", "age IS NOT NULL"), ("grade", "grade BETWEEN 1 AND 3"), ("ki67", "ki67 BETWEEN 0 AND 100"), ("stage", _STAGE)))
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH r AS (SELECT {_PATIENT} AS pid, clinical.*, coalesce(trust, 2147483647) AS trust FROM clinical LEFT JOIN providers USING (provider)), k AS (SELECT pid FROM r WHERE pid IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+        c AS (SELECT * FROM ({_CELLS}) WHERE pid IN (SELECT pid FROM k)), m AS (SELECT pid, field, max(updated_at) AS u, min(trust) AS t FROM c GROUP BY 1, 2)
+        SELECT pid AS patient_id, field, min(rec_id) AS rec_id FROM c JOIN m USING (pid, field) WHERE updated_at = u AND trust = t GROUP BY 1, 2""",
+    "p3_found": rf"""WITH RECURSIVE k AS (SELECT row_id, 'p' || {_PATIENT} AS key FROM response_rows WHERE {_PATIENT} IS NOT NULL UNION ALL SELECT row_id, 'b' || upper(trim(block_id)) FROM response_rows WHERE regexp_matches(upper(trim(block_id)), '[A-Z]') AND regexp_matches(block_id, '[1-9]')),
+        e AS (SELECT DISTINCT a.row_id AS a, b.row_id AS b FROM k a JOIN k b ON a.key = b.key AND a.row_id <> b.row_id), walk(a, b) AS (SELECT row_id, row_id FROM response_rows UNION SELECT walk.a, e.b FROM walk JOIN e ON walk.b = e.a)
+        SELECT min(b) AS first_row, a AS row_id FROM walk GROUP BY a HAVING min(b) < a""",
+    "p7_found": r"""SELECT plan_id, doc_id FROM (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{00a0}\x{0085}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+')) AS n FROM documents) JOIN pack_plan ON n > capacity_tokens""",
+}
