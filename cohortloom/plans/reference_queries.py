@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.clean import cohort_key
 from cohortloom.functions.encoders import barcode_patient, binary_flag, intrinsic_label, receptor_flag, response_flag, stage_digit, stage_group
 from cohortloom.operators import classical, metrics, models, relational, resampling, scaling, scoring, survival
-from cohortloom.session import table
+from cohortloom.session import stage, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -46,11 +46,12 @@ AGE = "ag AS (SELECT sample_id, arg_min(age, rec_id) AS age FROM clinical WHERE
 
 
 def expression(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.clean_expression(table(spark, d, "expr"))
+    """Clean expression, written once: every use of it joins aggregates back to its rows."""
+    return stage(scoring.clean_expression(table(spark, d, "expr")), "expression")
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    return r6(scoring.mean_z(expression(spark, d), table(spark, d, "gene_sets")), "score")
+    return stage(r6(scoring.mean_z(expression(spark, d), table(spark, d, "gene_sets")), "score"), "scores")
 
 
 def composites(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +77,7 @@ def ages(spark: SparkSession, d: str) -> DataFrame:
 # ---- sources, deduplication, scoring ---------------------------------------------------------------------------------
 @query("duplicate_sample_median", f"WITH {X} SELECT gene, sample_id, round(v, 6) AS value FROM x")
 def _(s, d):
-    return r6(expression(s, d), "value")
+    return r6(scoring.clean_expression(table(s, d, "expr")), "value")
 
 
 @query("gene_zscore_pop", f"WITH {X} SELECT gene, sample_id, round(coalesce((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 0), 6) AS z FROM x WINDOW w AS (PARTITION BY gene)")

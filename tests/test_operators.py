@@ -44,7 +44,7 @@ def test_joins_and_ranks(spark):
     assert rows(relational.overlay_join(a, b, "id", ["v"]), "id") == [{"id": 1, "v": 7, "only_a": "x"}, {"id": 2, "v": 5, "only_a": "y"}]
     d = spark.createDataFrame([(i, v) for i, v in enumerate([3.0, 1.0, 3.0, None, 2.0])], "i int, v double").withColumn("g", F.lit(1))
     assert [r["p"] for r in rows(relational.percent_rank_average(d, "v", ["g"], "p"), "i")] == [0.875, 0.25, 0.875, None, 0.5]
-    assert [r["bin"] for r in rows(relational.quantile_bin(d, "v", ["g"]), "i")] == ["high", "low", "high", None, "mid"]
+    assert [r["bin"] for r in rows(relational.quantile_bin(d, "v", ["g"]), "i")] == ["mid", "low", "mid", None, "low"]  # cuts at 2 and 3: a value at a cut is in the lower bin
     assert [r["n"] for r in rows(relational.unique_names(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i int, s string"), "s", "i", "n"), "i")] == ["a", "a_2", "b"]
     f = spark.createDataFrame([(1, 2, 3)], "sig__a int, gene__b int, clin__c int")
     assert relational.ablation_grid(f, {"immune": ["sig__"], "clinical": ["clin__"]}, {"both": ["immune", "clinical"]})["both"].columns == ["sig__a", "clin__c"]
