@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.functions.clean import cohort_key, intrinsic_code
+from cohortloom.functions.clean import cohort_key
 from cohortloom.operators import classical, factorise, metrics, models, quality, relational, resampling, scaling, scoring, survival
 from cohortloom.plans.reference_queries import AGE, TRIAL, ages, arm_tables, composites, labelled, outcomes, query, r6, scores, trial
 from cohortloom.session import stage, table
@@ -20,13 +20,14 @@ def feature_frame(s: SparkSession, d: str) -> DataFrame:
     return stage(scoring.wide_scores(scores(s, d), FEATURES, prefix="").na.drop(), "features")
 
 
-def profile_frame(s: SparkSession, d: str) -> DataFrame:
-    """Mean scores by cohort and intrinsic subtype over all samples: the rows that are clustered and factorised. Their number
-    follows the study design, not the data."""
-    k = relational.first_of_key(table(s, d, "clinical").where("sample_id is not null and name is not null"), ["sample_id"], ["rec_id"], ["name", "subtype_pam50"])
-    k = k.select("sample_id", F.concat_ws("/", cohort_key("name"), F.coalesce(intrinsic_code("subtype_pam50"), F.lit("NONE"))).alias("profile"))
-    wide = scoring.wide_scores(scores(s, d), FEATURES, prefix="").join(k, "sample_id")
-    return stage(wide.groupBy("profile").agg(*[F.avg(f).alias(f) for f in FEATURES]).na.drop(), "profiles")
+def discovery_frame(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """One row a sample, scaled for clustering and factorisation (medians for nulls, robust z, near-constant signatures left
+    out, clipped), staged; and the signatures that are kept."""
+    wide = scoring.wide_scores(scores(s, d), FEATURES, prefix="")
+    x = stage(scaling.cluster_input(wide.unpivot("sample_id", FEATURES, "set_name", "score"), "sample_id", "set_name", "score"), "scaled")
+    kept = {r[0] for r in x.select("set_name").distinct().collect()}
+    names = [f for f in FEATURES if f in kept]
+    return stage(scoring.wide_scores(x, names, prefix="", value="x"), "samples"), names
 
 
 def trial_long(s: SparkSession, d: str) -> DataFrame:
@@ -164,20 +165,25 @@ def _(s, d):
 
 @query("nmf_stability")
 def _(s, d):
-    return factorise.nmf_stability(profile_frame(s, d), "profile", FEATURES, [2, 3, 4], runs=6)[0]
+    """Factorisations of all samples: 30 runs for each k."""
+    x, names = discovery_frame(s, d)
+    return factorise.nmf_stability(x, "sample_id", names, [3, 4, 5, 6], runs=30)[0]
 
 
 @query("factor_projection")
 def _(s, d):
-    """Factors of the profiles, then the weights of every sample on them."""
-    _, best = factorise.nmf_stability(profile_frame(s, d), "profile", FEATURES, [3], runs=3)
-    return factorise.project_factors(feature_frame(s, d), "sample_id", best[3][1])
+    """Factors of all samples at the selected k, then the weights of every sample on them."""
+    x, names = discovery_frame(s, d)
+    stats, best = factorise.nmf_stability(x, "sample_id", names, [3, 4, 5, 6], runs=30)
+    _, h, shift = best[factorise.select_k_nmf(stats)]
+    return factorise.project_factors(x, "sample_id", h, shift=shift)
 
 
 @query("consensus_pac")
 def _(s, d):
-    """Consensus clustering of the profiles: the ambiguous share of pairs by k."""
-    return metrics.ambiguous_share(factorise.consensus_pairs(profile_frame(s, d), "profile", FEATURES, [2, 3, 4], replicates=10), "consensus", ["k"])
+    """Consensus clustering of all samples, 100 subsamples of 80 %: the ambiguous share of pairs by k."""
+    x, names = discovery_frame(s, d)
+    return factorise.consensus_pac(x, "sample_id", names, [2, 3, 4, 5, 6], replicates=100)
 
 
 @query("batch_adjusted")

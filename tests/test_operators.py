@@ -324,6 +324,49 @@ def test_consensus_finds_planted_clusters(spark):
         assert factorise.linkage_labels(dist, 3, method).tolist() == [1, 1, 2, 2, 3]
 
 
+def test_trees_without_distance_matrix():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 4))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    got = factorise.cluster_labels(x, [2, 3, 5], "ward")
+    for i, k in enumerate([2, 3, 5]):
+        assert got[:, i].tolist() == factorise.linkage_labels(d, k, "ward").tolist()
+    runs = np.array([np.where(rng.random(40) < 0.2, rng.integers(0, 3, 40), np.arange(40) % 3) for _ in range(97)])
+    similar = np.mean([np.equal.outer(r, r) for r in runs], axis=0)
+    assert factorise.cophenetic_of_runs(runs) == pytest.approx(factorise.cophenetic(similar), abs=1e-3)
+    assert factorise.cophenetic_of_runs(np.array([[0, 0, 1, 1]] * 3)) == pytest.approx(1.0)
+
+
+def test_consensus_pac_equals_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(45, 3))
+    d = spark.createDataFrame([(f"s{i:02d}", *map(float, x[i])) for i in range(45)], "id string, a double, b double, c double")
+    want = metrics.ambiguous_share(factorise.consensus_pairs(d, "id", ["a", "b", "c"], [2, 3], replicates=12), "consensus", ["k"]).collect()
+    got = factorise.consensus_pac(d, "id", ["a", "b", "c"], [2, 3], replicates=12, block=16).collect()
+    assert dict(got) == pytest.approx(dict(want)) and min(dict(want).values()) > 0
+
+
+def test_discovery_takes_every_sample(spark, tmp_path, monkeypatch):
+    from cohortloom.plans import catalogue
+
+    rng = np.random.default_rng(7)
+    genes = [f"G{j}" for j in range(8)]
+    rows = [(g, f"s{i:02d}", float(rng.normal())) for i in range(30) for g in genes]
+    from cohortloom.plans.statistics_queries import FEATURES
+
+    spark.createDataFrame(rows, "gene string, sample_id string, value double").write.parquet(str(tmp_path / "expr.parquet"))
+    spark.createDataFrame([(n, [g]) for n, g in zip(FEATURES, genes, strict=True)], "name string, genes array<string>").write.parquet(str(tmp_path / "gene_sets.parquet"))
+    spark.createDataFrame([(f"s{i:02d}", i, "one", "LumA") for i in range(30)], "sample_id string, rec_id long, name string, subtype_pam50 string").write.parquet(str(tmp_path / "clinical.parquet"))
+    seen = []
+    real = factorise.nmf_stability
+    monkeypatch.setattr(factorise, "nmf_stability", lambda df, e, f, ks, runs: seen.append((df.count(), list(ks), runs)) or real(df, e, f, ks, runs=2))
+    assert {r["k"] for r in catalogue.QUERIES["nmf_stability"](spark, str(tmp_path)).collect()} == {3, 4, 5, 6}
+    assert seen == [(30, [3, 4, 5, 6], 30)]
+    w = catalogue.QUERIES["factor_projection"](spark, str(tmp_path)).toPandas()
+    assert len(w) == 30 and (w.drop(columns="sample_id").sum(axis=1) > 0).all()
+    assert {r["k"] for r in catalogue.QUERIES["consensus_pac"](spark, str(tmp_path)).collect()} == {2, 3, 4, 5, 6}
+
+
 # ---- quality ---------------------------------------------------------------------------------------------------------
 def status(df):
     return {r["name"]: r["status"] for r in df.collect()}
