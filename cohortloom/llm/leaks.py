@@ -1,24 +1,30 @@
 """Evaluation texts leaking into training text: pigeonhole edit matching with Myers' bit-parallel distance.
 
-Each test item is split into pieces of ``piece_words`` words. A document that holds a part of the item with fewer damaged
-or missing pieces than the item has, less ``least_hits``, holds ``least_hits`` pieces word for word, in their order and
-about as far apart as in the item (the pigeonhole principle). Pieces are found by one Aho-Corasick automaton over the
-normalised text; only such places are verified: Myers' bit-parallel algorithm gives the least number of words to replace,
-leave out or insert that turns the item into some span of the document; left-out words are those not held.
+The error budget of an item of n words is n - ceil(held * n); no piece longer than a word is sure to survive it, so the pieces
+are single words weighted by rarity, and every filter keeps each place within the budget. Of the item's rarest ``budget + r``
+words ``r`` are held (the pigeonhole principle), in a stretch of ``n + budget`` words of the document; so are ``n - budget`` of
+all its words. Stretches with fewer are left, a word counting as often as in the item at most. The others are verified: Myers' bit-parallel algorithm gives the least number of words to replace, leave out or insert that turns the item
+into some span of the stretch; left-out words are those not held.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Most items and characters of test items that are sent to every executor.
 MAX_ITEMS, MAX_CHARS = 100_000, 50_000_000
 
+#: One in so many of the words an item must hold is asked for among its rarest, before all its words are counted.
+RARE_PART = 2
+
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&[a-zA-Z]{2,8};|&#\d{1,6};")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -57,87 +63,90 @@ def myers(pattern_masks: dict[str, int], m: int, text: list[str]) -> tuple[int,
 
 
 class _Matcher:
-    """The items' automaton and masks; built once per Python worker task from the items' words."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], piece_words: int, least_hits: int, held: float, slack: int) -> None:
-        import ahocorasick
+    """The items' rare words and masks; built once per Python worker task from the items' words. ``seen``: how often words occur
+    in some documents; it decides which words count as rare, so the speed but not the result."""
 
+    def __init__(self, items: list[tuple[int, list[str]]], held: float, seen: Counter) -> None:
         self.words = dict(items)
         self.masks: dict[int, dict[str, int]] = {}
-        self.least, self.held, self.slack = least_hits, held, slack
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.single: set[int] = set()
+        self.often: dict[int, Counter] = {}
+        self.need: dict[int, int] = {}
+        self.few: dict[int, Counter] = {}
+        self.least: dict[int, int] = {}
         for i, w in items:
             masks: dict[str, int] = defaultdict(int)
             for j, x in enumerate(w):
                 masks[x] |= 1 << j
-            self.masks[i] = dict(masks)
-            step = piece_words if len(w) >= 2 * piece_words * least_hits else max(1, len(w) // (2 * least_hits))
-            if len(w) < 2 * least_hits:
-                self.single.add(i)
-            for j in range(0, len(w) - step + 1, step):
-                pieces[f" {' '.join(w[j : j + step])} "].append((i, j))
-        self.automaton = ahocorasick.Automaton()
-        for k, v in pieces.items():
-            self.automaton.add_word(k, (k.count(" ") - 1, v))
-        if pieces:
-            self.automaton.make_automaton()
-        self.empty = not pieces
+            self.masks[i], self.often[i] = dict(masks), Counter(w)
+            self.need[i] = max(1, math.ceil(held * len(w) - 1e-9))
+            self.least[i] = 1 + self.need[i] // RARE_PART
+            by_rarity = sorted(w, key=lambda x: (seen[x], x))
+            self.few[i] = Counter(by_rarity[: len(w) - self.need[i] + self.least[i]])
+        # by word: the items that have it, and those that have it among their rare words; by item: how many of them must occur
+        self.items, places = [i for i, _ in items], {i: a for a, (i, _) in enumerate(items)}
+        every, rare = defaultdict(list), defaultdict(list)
+        for i in self.items:
+            for x in self.often[i]:
+                every[x].append(places[i])
+            for x in self.few[i]:
+                rare[x].append(places[i])
+        self.every, self.rare = ({x: np.array(v) for x, v in d.items()} for d in (every, rare))
+        self.least_every = np.array([self.need[i] - (len(w) - len(self.often[i])) for i, w in items])
+        self.least_rare = np.array([self.least[i] - (self.few[i].total() - len(self.few[i])) for i in self.items])
 
     def match(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, words held, first word, last word) for each item that the text holds; the best place of each."""
-        if self.empty or not text:
+        if not self.items or not text:
             return []
         w = words_of(text)
-        joined = " " + " ".join(w) + " "
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        places: list[tuple[int, list[tuple[int, int]]]] = []
-        for end, (_, items) in self.automaton.iter(joined):
-            places.append((end, items))
-        if not places:
+        here = self.every.keys() & set(w)
+        rare = here & self.rare.keys()
+        if not rare:
             return []
-        at, seen = 0, 0
-        for end, items in places:  # the number of words before the hit's end
-            seen += joined.count(" ", at, end)
-            at = end
-            for i, j in items:
-                hits[i].append((seen, j))
+        occur = lambda words, of: np.bincount(np.concatenate([of[x] for x in words]), minlength=len(self.items))
+        likely = np.flatnonzero((occur(rare, self.rare) >= self.least_rare) & (occur(here, self.every) >= self.least_every))
+        at: dict[str, list[int]] | None = None
         found: list[tuple[int, int, int, int]] = []
-        for i, h in hits.items():
-            n = len(self.words[i])
-            if len(h) < self.least and i not in self.single:
+        for i in (self.items[a] for a in likely):
+            often, need, n = self.often[i], self.need[i], len(self.words[i])
+            few, least, width = self.few[i], self.least[i], 2 * n - need
+            if at is None:
+                at = defaultdict(list)
+                for p, x in enumerate(w):
+                    if x in here:
+                        at[x].append(p)
+            near = sorted(chain.from_iterable([at[x] for x in few.keys() & here]))
+            if not any(b - a < width for a, b in zip(near, near[least - 1 :], strict=False)) or not self._stretches([(p, w[p]) for p in near], few, least, width):
                 continue
-            spans = self._places(h, n) if i not in self.single else [(e - n - n, e + n) for e, _ in h]
             best: tuple[int, int] | None = None
-            for lo, hi in spans:
-                lo, hi = max(0, lo), min(len(w), hi)
+            for lo, hi in self._stretches([(p, w[p]) for p in sorted(chain.from_iterable([at[x] for x in often.keys() & here]))], often, need, width):
                 d, end = myers(self.masks[i], n, w[lo:hi])
-                if n - d >= self.held * n and (best is None or n - d > best[0]):
+                if n - d >= need and (best is None or n - d > best[0]):
                     best = (n - d, lo + end)
             if best:
                 found.append((i, best[0], max(0, best[1] - best[0] + 1), best[1]))
         return self._best_by_place(found)
 
-    def _places(self, hits: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-        """Stretches of the document with ``least`` pieces in order on about one diagonal."""
+    @staticmethod
+    def _stretches(hits: list[tuple[int, str]], often: Counter, need: int, width: int) -> list[tuple[int, int]]:
+        """Stretches of the document covering all windows of ``width`` words that hold ``need`` of the item's words."""
         spans: list[tuple[int, int]] = []
-        for a in range(len(hits)):
-            e, j = hits[a]
-            got, last = 1, j
-            for b in range(a + 1, len(hits)):
-                f, k = hits[b]
-                if f - e > n + self.slack:
-                    break
-                if k > last and abs((f - e) - (k - j)) <= self.slack:
-                    got, last = got + 1, k
-                    if got >= self.least:
-                        break
-            if got >= self.least:
-                lo, hi = e - j - n // 4 - self.slack - 3, e - j + n + n // 4 + self.slack
-                if spans and lo <= spans[-1][0] + self.slack:
-                    spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
+        count: dict[str, int] = dict.fromkeys(often, 0)
+        got = first = 0
+        for p, x in hits:
+            count[x] += 1
+            got += count[x] <= often[x]
+            while hits[first][0] <= p - width:
+                y = hits[first][1]
+                got -= count[y] <= often[y]
+                count[y] -= 1
+                first += 1
+            if got >= need:
+                lo = hits[first][0]
+                if spans and lo < spans[-1][1]:
+                    spans[-1] = (spans[-1][0], p + 1)
                 else:
-                    spans.append((lo, hi))
+                    spans.append((lo, p + 1))
         return spans
 
     @staticmethod
@@ -158,12 +167,12 @@ class _Matcher:
         return out
 
 
-def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, *, piece_words: int = 3, least_hits: int = 2, held: float = 0.5, slack: int = 4) -> DataFrame:
+def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, *, held: float = 0.5) -> DataFrame:
     """Documents that hold at least ``held`` of the words of a test item in order and in one place: ``item``, ``doc``,
     ``held_words``, ``item_words``. One row per pair, the best place.
 
     Case, punctuation, mark-up and spacing don't matter; words replaced, left out or put in count against the words held.
-    The corpus is read once and never shuffled; the automaton of the items is what travels, and items beyond
+    The corpus is read once and never shuffled; the words of the items are what travels, and items beyond
     ``MAX_ITEMS`` / ``MAX_CHARS`` raise ValueError (split them into blocks). Null and empty texts and passages match
     nothing; whole texts are searched, however long; repeated rows come out as often as they are."""
     size = items.selectExpr("count(*) n", f"coalesce(sum(length({passage})), 0) c").first()
@@ -172,8 +181,10 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     known = [(r[0], w) for r in items.select(item, passage).where(f"{item} is not null and {passage} is not null").distinct().collect() if (w := words_of(r[1]))]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = _Matcher(known, piece_words, least_hits, held, slack)
+        matcher: _Matcher | None = None
         for b in batches:
+            if matcher is None:
+                matcher = _Matcher(known, held, Counter(x for t in b.iloc[:200, 1] if isinstance(t, str) for x in set(words_of(t))))
             rows = [(i, d, n, len(matcher.words[i])) for d, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True) if isinstance(t, str) for i, n, _, _ in matcher.match(t)]
             yield pd.DataFrame(rows, columns=["item", "doc", "held_words", "item_words"])
 

@@ -193,6 +193,22 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and 15 < len(want) < 50
 
 
+def test_leaks_within_the_whole_error_budget(spark):
+    """Words replaced at random up to half of the item, and every second or third one: no whole piece of words is left."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, [rng.choice(vocab) for _ in range(n)]) for i, n in enumerate((3, 4, 9, 29, 30, 40, 41, 60))]
+    docs = []
+    for d in range(240):
+        p = items[d % 8][1]
+        bad = set(range(0, len(p), 2 + d % 2)) if d % 5 == 0 else set(rng.sample(range(len(p)), int(len(p) * rng.uniform(0.2, 0.6))))
+        part = [rng.choice(["", f"z{rng.random()}"]) if j in bad else x for j, x in enumerate(p)]
+        docs.append((d, " ".join([*(rng.choice(vocab) for _ in range(d % 90)), *part, *(rng.choice(vocab) for _ in range(40))])))
+    want = {(i, d) for i, p in items for d, t in docs if len(p) - edit_to_span(p, words_of(t)) >= 0.5 * len(p)}
+    got = {(r["item"], r["doc"]) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id long, passage string"), "item_id", "passage").collect()}
+    assert got == want and len(want) > 120
+
+
 def test_leak_edge_cases(spark):
     items = spark.createDataFrame([(1, "one"), (2, ""), (3, None), (4, "alpha beta gamma delta"), (5, "…")], "item_id long, passage string")
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 200_000 + "Alpha, beta & gamma: <b>delta</b>"), (3, "alpha beta gamma delta"), (4, "this one here")], "doc_id long, text string").withColumn("item", F.lit(1))
