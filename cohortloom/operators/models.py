@@ -92,6 +92,46 @@ def interaction_logit(df: DataFrame, outcome: str, score: str, arm: str, covaria
     return logit(d.withColumn("interaction", F.col("z_score") * F.col(arm)), outcome, ["z_score", arm, "interaction", *covariates], by, **limits)
 
 
+def interaction_replicates(df: DataFrame, row: str, outcome: str, score: str, arm: str, by: Sequence[str], n: int, *, fraction: float | None = None, seed: int = 42, least_rows: int = 30) -> DataFrame:
+    """The interaction term of ``interaction_logit`` in ``n`` replicates of each group: by, rep, beta, p. The outcome is shuffled
+    within the arm or, with ``fraction``, so much of each arm is drawn without replacement (at least 5 rows).
+
+    The groups' rows go once to every task (one trial); replicates are tasks' rows, never copies of the data. Draws follow from
+    (seed, replicate) over the rows in the order of ``row``. Replicates too small or of one outcome give no row."""
+    spark, keys = df.sparkSession, list(by)
+    data = df.select(*keys, row, F.col(outcome).cast("double").alias("__y"), F.col(arm).cast("double").alias("__a"), F.col(score).cast("double").alias("__x")).na.drop().orderBy(*keys, row).toPandas()
+    groups = [(k, g[["__y", "__a", "__x"]].to_numpy(float)) for k, g in data.groupby(keys)]
+    shared = spark.sparkContext.broadcast([g for _, g in groups])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for at, rep in zip(pdf["at"], pdf["rep"], strict=True):
+            d, rng = shared.value[at].copy(), np.random.default_rng((seed, int(rep)))
+            arms = [np.flatnonzero(d[:, 1] == v) for v in np.unique(d[:, 1])]
+            if fraction is None:
+                for i in arms:
+                    d[i, 0] = d[rng.permutation(i), 0]
+            else:
+                d = d[np.concatenate([rng.permutation(i)[: max(5, int(len(i) * fraction))] for i in arms])]
+            y, a, x = d.T
+            if len(y) < least_rows or len(np.unique(y)) < 2 or x.std() == 0:
+                continue
+            z = (x - x.mean()) / x.std(ddof=1)
+            terms = [c for c in (z, a) if np.ptp(c) > 0]
+            if np.ptp(z * a) == 0:
+                continue
+            b, cov, _ = logit_kernel(np.column_stack([*terms, z * a]), y)
+            se = float(np.sqrt(max(cov[-1, -1], 0)))
+            out.append((at, rep, float(b[-1]), norm_sf2(b[-1] / se) if se else None))
+        return pd.DataFrame(out, columns=["at", "rep", "beta", "p"])
+
+    jobs = spark.range(len(groups) * n).select((F.col("id") % max(1, len(groups))).cast("int").alias("at"), F.floor(F.col("id") / max(1, len(groups))).cast("int").alias("rep"))
+    done = jobs.groupBy((F.col("rep") % 64).alias("task")).applyInPandas(fit, "at int, rep int, beta double, p double")
+    kinds = dict(df.dtypes)
+    names = spark.createDataFrame([(i, *(k if isinstance(k, tuple) else (k,))) for i, (k, _) in enumerate(groups)], "at int, " + ", ".join(f"`{k}` {kinds[k]}" for k in keys))
+    return done.join(F.broadcast(names), "at").select(*keys, "rep", "beta", "p")  # a row a group
+
+
 class Classifier:
     """Plug-in point of the out-of-fold harness: ``fit(x, y)`` on frames of features (nulls allowed), then ``score(x)``."""
 

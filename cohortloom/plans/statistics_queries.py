@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.functions.clean import cohort_key
+from cohortloom.functions.clean import cohort_key, receptor_code, stage_code
 from cohortloom.operators import classical, factorise, metrics, models, quality, relational, resampling, scaling, scoring, survival
 from cohortloom.plans.reference_queries import AGE, TRIAL, ages, arm_tables, composites, labelled, outcomes, query, r6, scores, trial
 from cohortloom.session import stage, table
@@ -63,22 +63,24 @@ def _(s, d):
     return models.interaction_logit(j, "pcr", "composite", "her2", [], ["class_name"]).where("term = 'interaction' or error is not null")
 
 
+def class_trial(s: SparkSession, d: str) -> DataFrame:
+    return stage(composites(s, d).join(trial(s, d), "sample_id").select("class_name", "sample_id", "composite", "her2", "pcr"), "trial")
+
+
 @query("interaction_permutation")
 def _(s, d):
-    """Permutation p of the interaction (outcome shuffled within the arm), 50 replicates in parallel."""
-    j = stage(composites(s, d).where("class_name = 'immune'").join(trial(s, d), "sample_id").select("sample_id", "composite", "her2", "pcr"), "trial")
-    null = models.interaction_logit(resampling.permuted(j, "sample_id", ["pcr"], ["her2"], 50), "pcr", "composite", "her2", [], ["rep"]).where("term = 'interaction'")
-    seen = models.interaction_logit(j.withColumn("rep", F.lit(-1)), "pcr", "composite", "her2", [], ["rep"]).where("term = 'interaction'").select(F.col("beta").alias("observed"))
-    both = null.join(F.broadcast(seen), F.lit(True), "left")  # one row
-    return resampling.permutation_p(both, F.col("observed"), "beta", two_sided=True)
+    """Permutation p of each class's interaction (outcome shuffled within the arm), 1000 replicates."""
+    j = class_trial(s, d)
+    null = models.interaction_replicates(j, "sample_id", "pcr", "composite", "her2", ["class_name"], 1000)
+    seen = models.interaction_logit(j, "pcr", "composite", "her2", [], ["class_name"]).where("term = 'interaction'").select("class_name", F.col("beta").alias("observed"))
+    return resampling.permutation_p(null.join(F.broadcast(seen), "class_name"), F.col("observed"), "beta", ["class_name"], two_sided=True)  # a row a class
 
 
 @query("interaction_subsample_stability")
 def _(s, d):
-    """Share of 60 % subsamples (within the arm) in which the interaction has p < 0.05."""
-    j = stage(composites(s, d).where("class_name = 'immune'").join(trial(s, d), "sample_id").select("sample_id", "composite", "her2", "pcr"), "trial")
-    fits = models.interaction_logit(resampling.subsampled(j, "sample_id", ["her2"], 0.6, 40), "pcr", "composite", "her2", [], ["rep"]).where("term = 'interaction'")
-    return fits.agg(F.count("*").alias("n"), F.median("p").alias("median_p"), F.avg((F.col("p") < 0.05).cast("double")).alias("share_p05"), F.avg((F.col("beta") < 0).cast("double")).alias("share_negative"))
+    """By class, the share of 500 subsamples (60 % within the arm) in which the interaction has p < 0.05."""
+    fits = models.interaction_replicates(class_trial(s, d), "sample_id", "pcr", "composite", "her2", ["class_name"], 500, fraction=0.6)
+    return fits.groupBy("class_name").agg(F.count("*").alias("n"), F.median("p").alias("median_p"), F.avg((F.col("p") < 0.05).cast("double")).alias("share_p05"), F.avg((F.col("beta") < 0).cast("double")).alias("share_negative"))
 
 
 @query("cross_arm_meta")
@@ -137,11 +139,20 @@ def _(s, d):
 
 @query("risk_score_bootstrap")
 def _(s, d):
-    """C-index of age as a risk with a Poisson bootstrap interval: replicates are keys, no fit is repeated."""
-    j = outcomes(s, d).join(ages(s, d), "sample_id").select("ep_id", "t", "e", F.col("age").cast("double").alias("age"))
-    boot = resampling.poisson_bootstrap(j, "ep_id", 20).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("weight")))).drop("copy")
-    c = survival.concordance(boot, "t", "e", "age", ["rep"], bins=32)
-    return resampling.percentile_interval(c, "c_index")
+    """Composite risk score (Cox on factors, age, stage and receptor status; the factors' part alone): C-index with the percentile
+    interval of 200 bootstrap replicates, tertile cuts and sizes."""
+    w = factor_weights(s, d)
+    factors = [c for c in w.columns if c != "sample_id"]
+    o = relational.first_of_key(outcomes(s, d).where("sample_id is not null"), ["sample_id"], ["ep_id"], ["t", "e"])
+    k = relational.first_of_key(table(s, d, "clinical").where("sample_id is not null"), ["sample_id"], ["rec_id"], ["age", "stage", "subtype_er", "subtype_her2"])
+    clinical = {"age": F.col("age"), "stage": stage_code("stage"), "er": F.when(receptor_code("subtype_er") == "POS", 1).when(receptor_code("subtype_er") == "NEG", 0), "her2": F.col("subtype_her2")}
+    j = stage(w.join(o, "sample_id").join(k.select("sample_id", *[c.cast("double").alias(n) for n, c in clinical.items()]), "sample_id"), "risk")
+    risk, cuts = survival.composite_risk(j, "t", "e", factors, list(clinical))
+    risk = stage(risk, "scored")
+    sizes = risk.agg(F.count("*").alias("n"), *[F.count(F.when(F.col("tertile") == v, 1)).alias(f"n_{v}") for v in ("low", "medium", "high")])
+    seen = risk.withColumn("weight", F.lit(1)).withColumn("rep", F.lit(0)).groupBy("rep").applyInPandas(lambda p: p.assign(c_index=survival.concordance_kernel(*(p[c].to_numpy() for c in ("t", "e", "risk", "weight"))))[["c_index"]].head(1), "c_index double")
+    ci = resampling.percentile_interval(survival.bootstrap_concordance(risk, "sample_id", "t", "e", "risk", 200), "c_index")
+    return seen.crossJoin(ci).crossJoin(sizes).withColumns({"low_cut": F.lit(cuts[0]), "high_cut": F.lit(cuts[1])})  # one row each
 
 
 # ---- classifiers, factors, clusters ----------------------------------------------------------------------------------
@@ -170,15 +181,19 @@ def _(s, d):
     return factorise.nmf_stability(x, "sample_id", names, [3, 4, 5, 6], runs=30)[0]
 
 
-@query("factor_projection")
-def _(s, d):
-    """Factors of all samples at the selected k, then the weights of every sample on them."""
+def factor_weights(s: SparkSession, d: str) -> DataFrame:
     x, names = discovery_frame(s, d)
     stats, best = factorise.nmf_stability(x, "sample_id", names, [3, 4, 5, 6], runs=30)
     _, h, shift = best[factorise.select_k_nmf(stats)]
     return factorise.project_factors(x, "sample_id", h, shift=shift)
 
 
+@query("factor_projection")
+def _(s, d):
+    """Factors of all samples at the selected k, then the weights of every sample on them."""
+    return factor_weights(s, d)
+
+
 @query("consensus_pac")
 def _(s, d):
     """Consensus clustering of all samples, 100 subsamples of 80 %: the ambiguous share of pairs by k."""

@@ -288,6 +288,36 @@ def test_centroids(spark):
             assert got[i]["predicted"] == d.argmin() and got[i]["distance"] == pytest.approx(d.min(), abs=1e-6)
 
 
+def test_weighted_concordance_and_composite_risk(spark):
+    rng = np.random.default_rng(8)
+    n = 300
+    f = rng.normal(size=(n, 2))
+    t = np.ceil(rng.exponential(30 * np.exp(-f[:, 0]))).astype(int)
+    rows = [(i, int(t[i]), int(rng.random() < 0.7), float(np.round(f[i, 0], 1)), float(f[i, 1]), float(rng.normal())) for i in range(n)]
+    d = spark.createDataFrame(rows, "id int, t long, e int, f1 double, f2 double, age double")
+    twice = resampling.poisson_bootstrap(d, "id", 3).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("weight"))))
+    want = {r["rep"]: r["c_index"] for r in survival.concordance(twice, "t", "e", "f1", ["rep"], bins=8).collect()}
+    got = dict(survival.bootstrap_concordance(d, "id", "t", "e", "f1", 3).collect())
+    assert got == pytest.approx(want) and len(got) == 3
+    scored, cuts = survival.composite_risk(d, "t", "e", ["f1", "f2"], ["age"])
+    p = scored.toPandas()
+    assert np.corrcoef(p["risk"], p["f1"])[0, 1] > 0.9 and cuts == pytest.approx(tuple(np.quantile(p["risk"], [1 / 3, 2 / 3])))
+    assert 90 <= (p["tertile"] == "low").sum() <= 110 and abs(p["risk"].mean()) < 1e-9
+
+
+def test_interaction_replicates(spark):
+    rng = np.random.default_rng(9)
+    rows = [(c, i, float(x), int(a), int(rng.random() < 1 / (1 + np.exp(-2 * x * a * (c == "planted"))))) for c in ("planted", "none") for i in range(200) for x, a in [(rng.normal(), i % 2)]]
+    d = spark.createDataFrame(rows, "class_name string, id int, x double, a int, y int")
+    full = models.interaction_replicates(d, "id", "y", "x", "a", ["class_name"], 2, fraction=1.0).toPandas()
+    seen = models.interaction_logit(d, "y", "x", "a", [], ["class_name"]).where("term = 'interaction'").toPandas().set_index("class_name")
+    for r in full.itertuples():
+        assert r.beta == pytest.approx(seen.beta[r.class_name], abs=1e-6) and r.p == pytest.approx(seen.p[r.class_name], abs=1e-6)
+    null = models.interaction_replicates(d, "id", "y", "x", "a", ["class_name"], 100).toPandas()
+    big = {c: (g.beta.abs() >= abs(seen.beta[c])).mean() for c, g in null.groupby("class_name")}
+    assert len(null) == 200 and big["planted"] == 0 and big["none"] > 0
+
+
 # ---- factors and clusters --------------------------------------------------------------------------------------------
 def test_nmf_consensus_and_projection(spark):
     rng = np.random.default_rng(3)
