@@ -50,7 +50,7 @@ def logrank_terms(df: DataFrame, time: str, event: str, group: str) -> tuple[Dat
     times = table.groupBy("__one", "t").agg(F.sum("d").alias("dd")).where("dd > 0")
     groups = table.select(group).distinct()
     # at risk in each group at each event time: the number of the group's rows from there on
-    grid = times.crossJoin(F.broadcast(groups.limit(1000)))  # groups of a study: bounded by 1000
+    grid = times.crossJoin(groups)  # all groups; their number decides whether they are broadcast
     leaves = table.groupBy(group, "t").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
     full = grid.join(leaves, [group, "t"], "full_outer").withColumns({"c": F.coalesce("c", F.lit(0)), "d": F.coalesce("d", F.lit(0))})
     full = full.withColumn("n", F.sum("c").over(W.partitionBy(group).orderBy(F.col("t").desc()))).where("dd is not null")

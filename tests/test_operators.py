@@ -305,6 +305,17 @@ def test_weighted_concordance_and_composite_risk(spark):
     assert 90 <= (p["tertile"] == "low").sum() <= 110 and abs(p["risk"].mean()) < 1e-9
 
 
+def test_logrank_takes_every_group(spark):
+    rows = [(g, t, 1 if t < 3 else 0) for g in range(1005) for t in (1 + g % 2, 3)]
+    d = spark.createDataFrame(rows, "g int, t long, e int")
+    oe = {r["g"]: r for r in survival.logrank_terms(d, "t", "e", "g")[0].collect()}
+    risk = 503 * 2 + 502 * 2  # at t = 1; at t = 2 the groups of odd g have two rows, the others one
+    first, second = 503 / risk, 502 / (risk - 503)
+    assert len(oe) == 1005
+    for g, r in oe.items():
+        assert r["observed"] == 1 and r["expected"] == pytest.approx(2 * first + (2 if g % 2 else 1) * second)
+
+
 def test_interaction_replicates(spark):
     rng = np.random.default_rng(9)
     rows = [(c, i, float(x), int(a), int(rng.random() < 1 / (1 + np.exp(-2 * x * a * (c == "planted"))))) for c in ("planted", "none") for i in range(200) for x, a in [(rng.normal(), i % 2)]]
