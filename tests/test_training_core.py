@@ -140,3 +140,15 @@ def test_unify_promote_and_keep_everything(spark):
     p = {x["line_no"]: x.asDict() for x in promote(out, (Field("ki67", ("ki67",), lambda t: F.trim(t).try_cast("double")),)).collect()}
     assert p[0]["ki67"] == 2.8 and json.loads(p[0]["_rescued"]) == {"time_os": "n.d."} and p[1]["ki67"] is None and "ki67" in json.loads(p[1]["_rescued"])
     assert len({a for f in CLINICAL_FIELDS for a in f.aliases}) == sum(len(f.aliases) for f in CLINICAL_FIELDS)
+
+
+def test_rare_levels_are_never_filled_in_nor_counted_as_a_real_level(spark):
+    from cohortloom.operators.impute import fill_and_model
+
+    rows = [(i, "abcdefgh"[i % 8], 2.0, 10.0, ["I"] * 12 + ["II"] * 8, "x") for i in range(20)]
+    rows = [(i, g, gr, ki, s[i], x) for i, g, gr, ki, s, x in rows] + [(100 + i, "z", 2.0, 10.0, f"rare{i}", "x") for i in range(15)] + [(200, "z", 2.0, 10.0, None, "x")]
+    df = spark.createDataFrame(rows, CLINICAL)
+    out, m = fill_and_model(df, {"grade": F.col("grade"), "ki67": F.col("ki67")}, {"stage": F.col("stage"), "grp": F.col("grp")}, {"grade": (1, 3), "ki67": (0, 100)}, ["stage"], missing={"stage": F.col("stage").isNull()}, classes=2, max_levels=2)
+    assert m.levels["stage"] == ["I", "II"] and m.other == {"stage", "grp"} and m.size("stage") == 3
+    got = {r["rec_id"]: r for r in out.collect()}
+    assert got[200]["stage_was_filled"] and got[200]["stage_filled"] in ("I", "II") and got[101]["stage_filled"] == "rare1" and not got[101]["stage_was_filled"]
