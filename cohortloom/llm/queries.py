@@ -144,14 +144,13 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    spans, classes = shared_spans(docs, "doc_id", "text", "received_at", least=SPAN)
-    return document_pairs(spans, classes, docs, "doc_id", "text", SPAN)
+    return document_pairs(shared_spans(docs, "doc_id", "text", "received_at", least=SPAN), docs, "doc_id", "text", SPAN)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    spans, classes = shared_spans(docs, "doc_id", "text", "received_at", least=SPAN)
-    return share_of_documents(docs, "doc_id", "text", spans, classes).select(F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), "n_copies", "n_links", "shared_chars", F.round("share", 6).alias("share"))
+    shares = share_of_documents(docs, "doc_id", "text", shared_spans(docs, "doc_id", "text", "received_at", least=SPAN), SPAN)
+    return shares.select(F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), "n_copies", "n_links", "shared_chars", F.round("share", 6).alias("share"))
 
 
 QUERIES = {
@@ -170,5 +169,8 @@ SQL: dict[str, str] = {
     "p3_found": rf"""WITH RECURSIVE k AS (SELECT row_id, 'p' || {_PATIENT} AS key FROM response_rows WHERE {_PATIENT} IS NOT NULL UNION ALL SELECT row_id, 'b' || upper(trim(block_id)) FROM response_rows WHERE regexp_matches(upper(trim(block_id)), '[A-Z]') AND regexp_matches(block_id, '[1-9]')),
         e AS (SELECT DISTINCT a.row_id AS a, b.row_id AS b FROM k a JOIN k b ON a.key = b.key AND a.row_id <> b.row_id), walk(a, b) AS (SELECT row_id, row_id FROM response_rows UNION SELECT walk.a, e.b FROM walk JOIN e ON walk.b = e.a)
         SELECT min(b) AS first_row, a AS row_id FROM walk GROUP BY a HAVING min(b) < a""",
+    "p9_found": """WITH w AS (SELECT doc_id, md5_number_lower(substr(text, i, 400)) AS h, md5_number_upper(substr(text, i, 400)) AS g FROM documents, unnest(range(1, length(text) - 398)) AS t(i) WHERE length(text) >= 400),
+        k AS (SELECT g, h FROM w GROUP BY 1, 2 HAVING min(doc_id) < max(doc_id)), s AS (SELECT DISTINCT doc_id, g, h FROM w SEMI JOIN k USING (g, h))
+        SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.g = b.g AND a.h = b.h AND a.doc_id < b.doc_id""",
     "p7_found": r"""SELECT plan_id, doc_id FROM (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{00a0}\x{0085}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+')) AS n FROM documents) JOIN pack_plan ON n > capacity_tokens""",
 }

@@ -245,38 +245,70 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "batches"), [(1, 1), (2, 3), (3, 5)])
-def test_shared_spans_equal_brute_force(spark, seed, batches):
+@pytest.mark.parametrize(("seed", "batches", "small"), [(1, 1, 10**6), (2, 3, 10**6), (3, 5, 2), (1, 2, 4)])
+def test_shared_spans_equal_brute_force(spark, monkeypatch, seed, batches, small):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string, at string").withColumn("doc", F.lit(0))
-    spans, classes = shared_spans(df, "doc_id", "text", "at", least=40, gram=24, batches=batches)
-    got = {tuple(r) for r in document_pairs(spans, classes, df, "doc_id", "text", 40).collect()}
+    monkeypatch.setattr("cohortloom.llm.spans.SMALL", small)
+    shared = shared_spans(df, "doc_id", "text", "at", least=40, gram=24, batches=batches)
+    assert (shared[1] is None) == (small > 100)
+    got = [tuple(r) for r in document_pairs(shared, df, "doc_id", "text", 40).collect()]
+    assert len(got) == len(set(got))
+    got = set(got)
     t = {i: x for i, x, _ in docs if x}
     want = {(a, b) for a in t for b in t if a < b and (longest_common(t[a], t[b]) >= 40 if max(a, b) != 106 else "é" * 40 in t[min(a, b)])}
     if (106, 107) not in want:
         want |= {(106, 107)}
     assert got == want
-    shares = {r["doc"]: r for r in share_of_documents(df, "doc_id", "text", spans, classes).collect()}
+    shares = {r["doc"]: r for r in share_of_documents(df, "doc_id", "text", shared, 40).collect()}
     assert len(shares) == sum(x is not None for _, x, _ in docs) and shares[101]["share"] in (0.0, 1.0) and shares[102]["share"] == 0.0
     for d, x in t.items():
         partners = [y for e, y in t.items() if e != d and (min(d, e), max(d, e)) in want]
         assert (shares[d]["shared_chars"] >= 40) == bool(partners or (list(t.values()).count(x) > 1)) or len(x) < 40
 
 
-def test_span_index_survives_compaction_and_hot_windows(spark, monkeypatch):
+def covered_chars(d, t, least):
+    """Characters of text d in windows of ``least`` that another text holds, by plain search."""
+    hit, text = set(), t[d]
+    for i in range(len(text) - least + 1):
+        w = text[i : i + least]
+        if any(w in x for e, x in t.items() if e != d):
+            hit |= set(range(i, i + least))
+    return len(hit)
+
+
+@pytest.mark.parametrize("small", [1, 10**6])
+def test_shares_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr("cohortloom.llm.spans.SMALL", small)
+    docs = [d for d in corpus(7) if d[0] < 102]
+    df = spark.createDataFrame(docs, "doc_id long, text string, at string")
+    t = {i: x for i, x, _ in docs}
+    got = {r["doc"]: r["shared_chars"] for r in share_of_documents(df, "doc_id", "text", shared_spans(df, "doc_id", "text", "at", least=40, gram=24), 40).collect()}
+    copied = [d for d, x in t.items() if list(t.values()).count(x) > 1]
+    assert got == {d: len(x) if d in copied else covered_chars(d, t, 40) for d, x in t.items()}
+
+
+def test_span_index_joins_runs_without_shuffling_them_and_compacts(spark, monkeypatch):
     monkeypatch.setattr("cohortloom.llm.spans.HOT", 3)
+    monkeypatch.setattr("cohortloom.llm.spans.SMALL", 5)
     docs = spark.createDataFrame([(i, f"{i:03d}" * 20 + "shared words " * 10) for i in range(24)], "doc_id long, text string")
-    index = SpanIndex(spark, docs, "doc_id", "text", least=40, gram=24, max_runs=1)
-    found = []
+    index = SpanIndex(spark, "doc_id", "text", least=40, gram=24, max_runs=2)
+    found = None
     for part in range(4):
-        found.append(index.append(docs.where(f"doc_id % 4 = {part}")))
-        assert len(index.runs) == 1
-    pairs = {(r["a"], r["b"]) for f in found for r in index.verify(f).collect()}
+        got = index.append(docs.where(f"doc_id % 4 = {part}"))
+        found = got if found is None else found.unionByName(got)
+        assert len(index.runs) == (1, 2, 1, 2)[part]
+    assert index.compactions == 1
+    plan = index.shared_places(spark.table(index.runs[1][0]), [spark.table(index.runs[0][0])])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
     index.close()
-    assert pairs == {(a, b) for a in range(24) for b in range(a + 1, 24)}
+    assert found.select("doc").distinct().count() == 24
+    shared = shared_spans(docs.withColumn("at", F.lit("2020-01-01")), "doc_id", "text", "at", least=40, gram=24)
+    assert shared[1] is not None and {tuple(r) for r in document_pairs(shared, docs, "doc_id", "text", 40).collect()} == {(a, b) for a in range(24) for b in range(a + 1, 24)}
 
 
 def test_empty_corpus(spark):
     df = spark.createDataFrame([], "doc_id long, text string, at timestamp")
-    spans, classes = shared_spans(df, "doc_id", "text", "at")
-    assert spans.count() == 0 and classes.count() == 0
+    shared = shared_spans(df, "doc_id", "text", "at")
+    assert shared[0].count() == 0 and shared[1] is None and shared[2].count() == 0
+    assert document_pairs(shared, df, "doc_id", "text", 400).count() == 0 and share_of_documents(df, "doc_id", "text", shared, 400).count() == 0
