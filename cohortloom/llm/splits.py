@@ -20,7 +20,7 @@ def hash_to_min(edges: DataFrame, *, a: str = "a", b: str = "b", rounds: int = 6
     pairs = stage(e.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")), F.struct("v", F.col("v").alias("u")), F.struct(F.col("u").alias("v"), "u"))).alias("p")).select("p.*").distinct(), "graph")
     before = None
     for _ in range(rounds):
-        low = pairs.groupBy("v").agg(F.min("u").alias("m"))
+        low = stage(pairs.groupBy("v").agg(F.min("u").alias("m")), "low")  # written, so that a hot node's side of the join can be split
         sent = pairs.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p")).select("p.*")
         pairs = stage(sent.distinct(), "graph")
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
@@ -35,51 +35,58 @@ def linked_sets(df: DataFrame, row: str, keys: dict[str, Column]) -> DataFrame:
 
     Every row with a non-null id comes out once, an unlinked one as its own first. Each key's rows are first reduced to
     edges to the smallest of them (a map-side minimum), so a key that holds a third of the rows costs as many edges as it
-    has rows and its join is split by AQE; repeated ids are one row."""
+    has rows. Both sides of each join are written tables, so AQE splits the partition of a hot key (an aggregate between
+    exchange and join would forbid it; a test looks at the plan). Repeated ids are one row."""
     long = df.select(F.col(row).alias("row"), F.explode(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(k).alias("kind"), c.cast("string").alias("key"))) for k, c in keys.items()])).alias("k")).where("row is not null and k is not null").select("row", "k.*")
     long = stage(long, "keys")
-    stars = long.groupBy("kind", "key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
+    stars = stage(long.groupBy("kind", "key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("kind", "key", "low"), "stars")
     edges = long.join(stars, ["kind", "key"]).where("row > low").select(F.col("low").alias("a"), F.col("row").alias("b")).distinct()
     first = hash_to_min(edges).withColumnRenamed("node", "row")
     return df.select(F.col(row).alias("row")).where("row is not null").distinct().join(first, "row", "left").select("row", F.coalesce("first", "row").alias("first"))
 
 
-def assign_splits(df: DataFrame, row: str, first: str, plan: dict[str, float], strata: list[Column], *, seed: int = 7, big: float = 0.002) -> DataFrame:
+def assign_splits(df: DataFrame, row: str, first: str, plan: dict[str, float], strata: list[Column], *, seed: int = 7, rounds: int = 8) -> DataFrame:
     """Each row's split: ``row``, ``first``, ``split_name``. Rows of one component (equal ``first``) share their split.
 
-    A component's stratum is that of most of its rows (the first by name on ties; NULL is a stratum). Components are
-    assigned by weighted rendezvous hashing: the split with the largest -w / ln(hash(component, split)) wins, so the
-    choice depends on the component alone and moves few rows when the plan changes. Hashing meets the proportions in
-    expectation; a component of more than ``big`` of its stratum's rows would unbalance it, so those (at most 1 / ``big``
-    a stratum) go one by one, the largest first, to the split of the stratum that lacks most, and the weights of the
-    rest are what they leave. ``plan``: split name to fraction, any positive scale."""
-    total = sum(plan.values())
-    names = sorted(plan)
+    A component's stratum is that of most of its rows (the first by name on ties; NULL is a stratum). Every component is
+    assigned by weighted rendezvous hashing: the split with the largest -w / ln(hash(component, split)) wins. A split's weight
+    shrinks with the component's size, to next to nothing for one that would fill the split's part of all rows. Plain weights
+    meet the proportions in expectation only, so they are calibrated: ``rounds`` times, a weight by stratum and one over
+    all strata are moved by the share of rows that the split lacks, and the best are kept. A component's split depends on its hash, its size and its
+    stratum's weights alone, so few rows move when the plan or the data change a little. ``plan``: split name to fraction, any positive scale; an empty plan gives no rows. Ids of any type; rows with a null ``first`` are left out."""
+    names, total = sorted(s for s in plan if plan[s] > 0), sum(plan.values())
     share = {s: plan[s] / total for s in names}
     rows = df.select(F.col(row).alias("row"), F.col(first).alias("first"), F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in strata] or [F.lit("")]).alias("stratum"))
-    rows = stage(rows, "rows")
+    rows = stage(rows.where("first is not null"), "rows")
+    if not names:
+        return rows.select("row", "first", F.lit(None).cast("string").alias("split_name")).limit(0)
     mix = rows.groupBy("first", "stratum").agg(F.count("*").alias("n"))
     comp = mix.groupBy("first").agg(F.max(F.struct("n", "stratum")).alias("top"), F.sum("n").alias("n")).select("first", "top.stratum", "n")
-    comp = stage(comp, "components")
+    drawn = [(F.pmod(F.xxhash64(F.lit(seed), F.col("first"), F.lit(s)), F.lit(2**52)).cast("double") + 0.5) / float(2**52) for s in names]
+    comp = stage(comp.select("first", "stratum", "n", *[(-F.log(d)).alias(f"e{i}") for i, d in enumerate(drawn)]), "components")
     sizes = comp.groupBy("stratum").agg(F.sum("n").alias("size"))
-    ranked = comp.join(sizes, "stratum").where(F.col("n") > F.greatest(F.lit(1.0), F.col("size") * big))
-
-    def place(pdf):  # the big components of one stratum: at most 1 / big rows
-        import pandas as pd
+    weights = stage(sizes.select("stratum", "size", *[F.lit(share[s]).alias(f"w{i}") for i, s in enumerate(names)]), "weights")
+    everywhere, every = [share[s] for s in names], float(comp.agg(F.sum("n")).first()[0] or 1)
 
-        lack = {s: share[s] * float(pdf["size"].iloc[0]) for s in names}
-        out = []
-        for f, n in sorted(zip(pdf["first"], pdf["n"], strict=True), key=lambda x: (-x[1], x[0])):
-            s = max(names, key=lambda s: (lack[s], s))
-            lack[s] -= n
-            out.append((pdf["stratum"].iloc[0], f, s, int(n)))
-        return pd.DataFrame(out, columns=["stratum", "first", "split_name", "n"])
+    def chosen(weights: DataFrame, everywhere: list[float]) -> DataFrame:
+        winner = F.array_max(F.array(*[F.struct((F.greatest(1 - F.col("n") / (share[s] * every), F.lit(1e-9)) * F.col(f"w{i}") * everywhere[i] / F.col(f"e{i}")).alias("score"), F.lit(i).alias("s")) for i, s in enumerate(names)]))["s"]
+        return comp.join(weights, "stratum").select("first", "stratum", "n", winner.alias("s"))
 
-    placed = stage(ranked.groupBy("stratum").applyInPandas(place, "stratum string, first long, split_name string, n long"), "placed")
-    used = placed.groupBy("stratum").agg(*[F.sum(F.when(F.col("split_name") == s, F.col("n")).otherwise(0)).alias(f"u_{i}") for i, s in enumerate(names)])
-    rest = comp.join(placed.select("first"), "first", "left_anti").join(sizes.join(used, "stratum", "left"), "stratum")
-    weight = [F.greatest(F.lit(share[s]) * F.col("size") - F.coalesce(F.col(f"u_{i}"), F.lit(0)), F.lit(1e-9)) for i, s in enumerate(names)]
-    drawn = [(F.pmod(F.xxhash64(F.lit(seed), F.col("first"), F.lit(s)), F.lit(2**52)).cast("double") + 0.5) / float(2**52) for s in names]
-    winner = F.array_max(F.array(*[F.struct((-weight[i] / F.log(drawn[i])).alias("score"), F.lit(s).alias("s")) for i, s in enumerate(names)]))["s"]
-    chosen = rest.select("first", winner.alias("split_name")).unionByName(placed.select("first", "split_name"))
-    return rows.select("row", "first").join(chosen, "first")
+    best = None
+    for r in range(rounds):
+        got = chosen(weights, everywhere).groupBy("stratum").agg(*[F.sum(F.when(F.col("s") == i, F.col("n")).otherwise(0)).alias(f"g{i}") for i in range(len(names))])
+        got = stage(weights.join(got, "stratum"), "got")
+        whole = got.agg(F.sum("size").alias("size"), *[F.sum(f"g{i}").alias(f"g{i}") for i in range(len(names))]).first()
+        if not whole["size"]:
+            break
+        off = sum(abs(whole[f"g{i}"] - share[s] * whole["size"]) for i, s in enumerate(names))
+        if best is None or off < best[0]:
+            best = (off, weights, everywhere)
+        everywhere = [w * ((share[s] * whole["size"] + 1) / (whole[f"g{i}"] + 1)) ** 0.5 for i, (w, s) in enumerate(zip(everywhere, names, strict=True))]
+        if r < rounds - 1 - rounds // 3:  # the last rounds leave the strata and settle the whole
+            lack = [F.pow((F.lit(share[s]) * F.col("size") + 1) / (F.col(f"g{i}") + 1), 0.5) for i, s in enumerate(names)]
+            weights = stage(got.select("stratum", "size", *[(F.col(f"w{i}") * lack[i]).alias(f"w{i}") for i in range(len(names))]), "weights")
+    if best is not None:  # of the weights tried, those that come nearest to the plan
+        _, weights, everywhere = best
+    label = F.element_at(F.array(*map(F.lit, names)), F.col("s") + 1)
+    return rows.select("row", "first").join(chosen(weights, everywhere).select("first", label.alias("split_name")), "first").select("row", "first", "split_name")
