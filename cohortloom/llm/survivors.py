@@ -20,8 +20,6 @@ from cohortloom.session import stage
 #: Sources with an accuracy and copying probabilities of their own; further (smaller) ones share theirs, but each still votes
 #: and each of their records is a candidate.
 MAX_SOURCES = 24
-#: Log prior of a superseded record.
-SUPERSEDED = -1000.0
 
 
 def _votes(claims: Column, acc: list[float], dep: list[list[float]], copy_rate: float, n_false: float) -> Column:
@@ -118,12 +116,10 @@ def fuse(
 
     done = items.withColumn("v", _votes(F.col("claims"), acc, dep, copy_rate, n_false)).withColumn("p", _posteriors(F.col("v"), n_false))
 
-    def candidate(x: Column) -> Column:
-        votes = F.coalesce(F.array_max(F.transform(F.filter("p", lambda y: y["value"] == x["value"]), lambda y: y["p"])), F.lit(0.0))
-        beaten = F.exists("by", lambda y: (y["upd"] >= x["upd"]) & (y["t"] >= x["t"]) & ((y["upd"] > x["upd"]) | (y["t"] > x["t"]) | (y["r"] > x["r"])))
-        prior = F.when(beaten, F.lit(SUPERSEDED)).otherwise(F.lit(0.0))
-        return F.struct((F.log(votes + 1e-300) + prior).alias("score"), x["t"].alias("t"), x["upd"].alias("upd"), x["r"].alias("r"), x["value"].alias("value"), votes.alias("votes"), beaten.alias("beaten"))
-
-    done = done.withColumn("cand", F.transform("by", candidate))
-    done = done.withColumns({"best": F.array_max("cand"), "undisputed": F.size(F.filter("cand", lambda x: ~x["beaten"])) == 1})
+    # the prior of a superseded record is less than any posterior of the votes: the maximum is among the others
+    open_ = F.filter("by", lambda x: ~F.exists("by", lambda y: (y["upd"] >= x["upd"]) & (y["t"] >= x["t"]) & ((y["upd"] > x["upd"]) | (y["t"] > x["t"]) | (y["r"] > x["r"]))))
+    done = done.select("group", "field", "n_records", "p", open_.alias("open"))
+    votes = lambda x: F.coalesce(F.array_max(F.transform(F.filter("p", lambda y: y["value"] == x["value"]), lambda y: y["p"])), F.lit(0.0))
+    scored = F.transform("open", lambda x: F.struct(votes(x).alias("votes"), x["t"].alias("t"), x["upd"].alias("upd"), x["r"].alias("r"), x["value"].alias("value")))
+    done = done.select("group", "field", "n_records", F.array_max(scored).alias("best"), (F.size("open") == 1).alias("undisputed"))
     return done.select("group", "field", F.col("best.value").alias("value"), (-F.col("best.r")).alias("record"), F.col("best.votes").alias("posterior"), "undisputed", "n_records")
