@@ -16,6 +16,8 @@ from cohortloom.operators.metrics import calibration
 from cohortloom.session import pearson
 
 STATUS = ("PASS", "WARN", "FAIL", "SKIP")
+#: Pairs of columns whose correlations one pass computes.
+PAIR_BLOCK = 1_000
 SCHEMA = "name string, status string, message string, evidence map<string,string>"
 
 
@@ -139,7 +141,7 @@ def disjoint(df: DataFrame, key: str, source: str, name: str) -> DataFrame:
 
 def feature_frame(df: DataFrame, key: str, prefix: str = "", high: float = 0.98) -> DataFrame:
     """Empty, all-null and infinite columns FAIL, constant ones WARN, pairs of |r| above ``high`` WARN. One pass for the columns,
-    one for all pairs' moments."""
+    one for each block of ``PAIR_BLOCK`` pairs; every pair is looked at, however many columns there are."""
     cols = [c for c in df.columns if c != key and dict(df.dtypes)[c] in ("double", "float", "int", "bigint")]
     q = lambda c: F.col(f"`{c}`").cast("double")
     aggs = [F.count("*").alias("n")]
@@ -156,11 +158,15 @@ def feature_frame(df: DataFrame, key: str, prefix: str = "", high: float = 0.98)
         _row(s, f"{prefix}infinite_columns", F.when(inf != "", "FAIL").otherwise("PASS"), inf),
         _row(s, f"{prefix}constant_columns", F.when(flat != "", "WARN").otherwise("PASS"), flat),
     ]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]][:5000]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     if pairs:
-        c = df.agg(*[pearson(q(a), q(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-        near = F.concat_ws(",", *[F.when(F.abs(F.col(f"c{i}")) > high, F.lit(f"{a}~{b}")) for i, (a, b) in enumerate(pairs)])
-        rows.append(_row(c, f"{prefix}near_duplicate_columns", F.when(near != "", "WARN").otherwise("PASS"), near))
+        near = []
+        for at in range(0, len(pairs), PAIR_BLOCK):
+            block = pairs[at : at + PAIR_BLOCK]
+            c = df.agg(*[pearson(q(a), q(b)).alias(f"c{i}") for i, (a, b) in enumerate(block)])
+            near.append(c.select(F.lit(at).alias("at"), F.concat_ws(",", *[F.when(F.abs(F.col(f"c{i}")) > high, F.lit(f"{a}~{b}")) for i, (a, b) in enumerate(block)]).alias("near")))
+        found = union(near).where("near <> ''").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("at", "near"))), lambda x: x["near"])).alias("near"))  # a row a block
+        rows.append(_row(found, f"{prefix}near_duplicate_columns", F.when(F.col("near") != "", "WARN").otherwise("PASS"), F.col("near")))
     return union(rows)
 
 

@@ -78,14 +78,20 @@ def logrank(df: DataFrame, time: str, event: str, group: str) -> dict[str, float
     return {"chi2": chi, "df": len(rows) - 1, "p": chi2_sf(chi, len(rows) - 1)}
 
 
-def pairwise_logrank(df: DataFrame, time: str, event: str, group: str) -> list[dict]:
-    """Log-rank of every pair of groups, with Benjamini-Hochberg q."""
-    names = sorted(r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().collect())  # groups of a study
-    out = [{"a": a, "b": b, **logrank(df.where(F.col(group).isin(a, b)), time, event, group)} for i, a in enumerate(names) for b in names[i + 1 :]]
-    low = 1.0
-    for rank, row in sorted(enumerate(sorted(out, key=lambda r: r["p"]), 1), reverse=True):
-        low = row["q"] = min(low, row["p"] * len(out) / rank)
-    return out
+def pairwise_logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
+    """Log-rank of every pair of groups (a < b) in one plan: a, b, chi2 (of one degree), observed and expected events of a.
+    A pair's rows are the two groups' rows at their distinct times; p and q are for the caller's result rows."""
+    t = life_table(df.where(F.col(group).isNotNull()), time, event, [group]).select(F.col(group).alias("g"), "t", "d", "c")
+    names = t.select("g").distinct()
+    pairs = names.select(F.col("g").alias("a")).join(names.select(F.col("g").alias("b")), F.col("a") < F.col("b"))  # groups of a study
+    one = lambda side: pairs.join(t, F.col(side) == F.col("g")).select("a", "b", "t", *[(F.col(c) if side == s else F.lit(0)).alias(f"{c}{s}") for c in "dc" for s in "ab"])
+    both = one("a").unionByName(one("b")).groupBy("a", "b", "t").agg(*[F.sum(f"{c}{s}").alias(f"{c}{s}") for c in "dc" for s in "ab"])
+    w = W.partitionBy("a", "b").orderBy(F.col("t").desc())
+    both = both.withColumns({"na": F.sum("ca").over(w), "nb": F.sum("cb").over(w)}).where("da + db > 0")
+    n, dd = F.col("na") + F.col("nb"), F.col("da") + F.col("db")
+    v = F.when(n > 1, dd * (n - dd) / (n - 1) * F.col("na") / n * F.col("nb") / n).otherwise(0.0)
+    out = both.groupBy("a", "b").agg(F.sum("da").alias("observed"), F.sum(dd * F.col("na") / n).alias("expected"), F.sum(v).alias("v"))
+    return pairs.join(out, ["a", "b"], "left").select("a", "b", "observed", "expected", F.coalesce(ratio(F.pow(F.col("observed") - F.col("expected"), 2), F.col("v")), F.lit(0.0)).alias("chi2"))
 
 
 def concordance(df: DataFrame, time: str, event: str, risk: str, by: Sequence[str] = (), bins: int = 256) -> DataFrame:

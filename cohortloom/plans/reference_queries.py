@@ -234,11 +234,11 @@ def _(s, d):
 
 
 # ---- groups, effects, tests ------------------------------------------------------------------------------------------
-@query("profile_by_cluster", f"WITH {SCORES}, k AS (SELECT sample_id, arg_min(name, rec_id) AS cluster FROM clinical WHERE sample_id IS NOT NULL AND name IS NOT NULL GROUP BY 1) SELECT cluster, set_name, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(median(score), 4) AS median, count(score) AS n FROM s JOIN k USING (sample_id) GROUP BY 1, 2")
+@query("profile_by_cluster", f"WITH {SCORES.replace('round(avg(z), 6) AS score', 'avg(z) AS score')}, k AS (SELECT sample_id, arg_min(name, rec_id) AS cluster FROM clinical WHERE sample_id IS NOT NULL AND name IS NOT NULL GROUP BY 1) SELECT cluster, set_name, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(median(score), 6) AS median, count(score) AS n FROM s JOIN k USING (sample_id) GROUP BY 1, 2")
 def _(s, d):
     k = relational.first_of_key(table(s, d, "clinical").where("sample_id is not null and name is not null"), ["sample_id"], ["rec_id"], ["name"])
-    j = scores(s, d).join(k, "sample_id")
-    return r6(j.groupBy(F.col("name").alias("cluster"), "set_name").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.median("score").alias("median"), F.count("score").alias("n")), "mean", "sd").withColumn("median", F.round("median", 4))
+    j = scoring.mean_z(expression(s, d), table(s, d, "gene_sets")).join(k, "sample_id")  # not rounded before: means of rounded scores are ties
+    return r6(j.groupBy(F.col("name").alias("cluster"), "set_name").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.median("score").alias("median"), F.count("score").alias("n")), "mean", "sd", "median")
 
 
 @query("composite_tertile_effect", f"""WITH {COMP}, {TRIAL}, j AS (SELECT class_name, composite, pcr, her2 FROM c JOIN tr USING (sample_id)), q AS (SELECT class_name, quantile_cont(composite, [1/3.0, 2/3.0]) AS cuts FROM j GROUP BY 1),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.clean import cohort_key, receptor_code, stage_code
 from cohortloom.operators import classical, factorise, metrics, models, quality, relational, resampling, scaling, scoring, survival
-from cohortloom.plans.reference_queries import AGE, TRIAL, ages, arm_tables, composites, labelled, outcomes, query, r6, scores, trial
+from cohortloom.plans.reference_queries import AGE, SURV, TRIAL, ages, arm_tables, composites, labelled, outcomes, query, r6, scores, trial
 from cohortloom.session import stage, table
 from cohortloom.streaming.checks import windowed_quality
 
@@ -130,11 +130,24 @@ def _(s, d):
     return s.createDataFrame([(r["chi2"], r["df"], r["p"])], "chi2 double, df int, p double")
 
 
-@query("logrank_pairwise")
+LOGRANK_SQL = """t AS (SELECT half, t, sum(e) AS d, count(*) AS c FROM sv GROUP BY 1, 2), p AS (SELECT x.half AS a, y.half AS b FROM (SELECT DISTINCT half FROM t) x JOIN (SELECT DISTINCT half FROM t) y ON x.half < y.half),
+ u AS (SELECT a, b, t, sum(CASE WHEN half = a THEN d ELSE 0 END) AS da, sum(CASE WHEN half = b THEN d ELSE 0 END) AS db, sum(CASE WHEN half = a THEN c ELSE 0 END) AS ca, sum(CASE WHEN half = b THEN c ELSE 0 END) AS cb FROM p JOIN t ON half IN (a, b) GROUP BY 1, 2, 3),
+ n AS (SELECT *, sum(ca) OVER w AS na, sum(cb) OVER w AS nb FROM u WINDOW w AS (PARTITION BY a, b ORDER BY t DESC))
+ SELECT a, b, sum(da) AS observed, round(sum((da + db) * na / (na + nb)), 6) AS expected, round(sum(da - (da + db) * na / (na + nb)) ** 2 / sum(CASE WHEN na + nb > 1 THEN (da + db) * (na + nb - da - db) / (na + nb - 1) * na * nb / (na + nb) ** 2 ELSE 0 END), 6) AS chi2 FROM n WHERE da + db > 0 GROUP BY 1, 2"""
+
+
+@query("logrank_pairwise", f"WITH {SURV.replace('event_os AS e', "event_os AS e, CASE WHEN name < 'l' THEN 'a-k' WHEN name < 'p' THEN 'l-o' ELSE 'p-z' END AS half")}, {LOGRANK_SQL}")
+def _(s, d):
+    o = outcomes(s, d).withColumn("half", F.when(F.col("name") < "l", "a-k").when(F.col("name") < "p", "l-o").otherwise("p-z"))
+    return r6(survival.pairwise_logrank(o, "t", "e", "half"), "expected", "chi2")
+
+
+@query("logrank_pairwise_q")
 def _(s, d):
+    """The same with tails and false-discovery rates."""
     o = outcomes(s, d).withColumn("half", F.when(F.col("name") < "l", "a-k").when(F.col("name") < "p", "l-o").otherwise("p-z"))
-    rows = survival.pairwise_logrank(o, "t", "e", "half")
-    return s.createDataFrame([(r["a"], r["b"], r["chi2"], r["p"], r["q"]) for r in rows], "a string, b string, chi2 double, p double, q double")
+    p = classical.with_tail(survival.pairwise_logrank(o, "t", "e", "half").withColumn("df", F.lit(1)), "chi2", ["chi2", "df"], "p")
+    return relational.benjamini_hochberg(p, "p", "q")
 
 
 @query("risk_score_bootstrap")

@@ -119,10 +119,15 @@ def p5_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "raw_rows"))
 
 
+def p5_by_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes as found without any alias of the target schema: renames come from spellings and values alone."""
+    return schema_changes(table(spark, sf_dir, "raw_rows"), fields=())
+
+
 _SAYS_NONE = ", ".join("'" + v.replace("'", "''") + "'" for v in NO_VALUE)
 MISSING_STAGE_SQL = rf"(stage IS NULL OR lower(trim(regexp_replace(trim(regexp_replace(stage, '[\s\x{{00a0}}]+', ' ', 'g')), '^[\[(<]+|[\])>]+$', '', 'g'))) IN ({_SAYS_NONE}))"
 
-QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p1_heldout": p1_heldout, "p4_found": p4_found, "p4_months": p4_months, "p5_found": p5_found, "p5_changes": p5_changes, "p5_unified": p5_unified}
+QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p1_heldout": p1_heldout, "p4_found": p4_found, "p4_months": p4_months, "p5_found": p5_found, "p5_changes": p5_changes, "p5_by_values": p5_by_values, "p5_unified": p5_unified}
 SQL = {
     "p1_found": f"""
         SELECT rec_id, 'grade' AS field FROM clinical WHERE grade IS NULL OR isnan(grade) OR grade < 1 OR grade > 3

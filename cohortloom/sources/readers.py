@@ -84,7 +84,7 @@ def read_matrix(spark: SparkSession, path: str, *, sep: str = "\t", keep_types:
 def read_gmt(spark: SparkSession, path: str) -> DataFrame:
     """Gene sets: name, description, genes (upper case); lines of fewer than three fields are skipped."""
     p = F.split("value", "\t")
-    return spark.read.text(path).where(F.size(p) >= 3).select(F.trim(p[0]).alias("name"), F.trim(p[1]).alias("description"), F.filter(F.transform(F.slice(p, 3, 1_000_000), lambda g: F.upper(F.trim(g))), lambda g: g != "").alias("genes"))
+    return spark.read.text(path).where(F.size(p) >= 3).select(F.trim(p[0]).alias("name"), F.trim(p[1]).alias("description"), F.filter(F.transform(F.slice(p, F.lit(3), F.greatest(F.size(p) - 2, F.lit(0))), lambda g: F.upper(F.trim(g))), lambda g: g != "").alias("genes"))
 
 
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:
