@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cohortloom.plans import reference_queries, statistics_queries, training_core
+from cohortloom.plans import reference_queries, statistics_queries, study_queries, training_core
 
-__all__ = ["QUERIES", "SQL", "statistics_queries"]
-_PARTS = (reference_queries, training_core)  # statistics_queries registers its queries with reference_queries
+__all__ = ["QUERIES", "SQL", "statistics_queries", "study_queries"]
+_PARTS = (reference_queries, training_core)  # statistics_queries and study_queries register theirs with reference_queries
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
