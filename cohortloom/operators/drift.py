@@ -81,9 +81,13 @@ def _kind(v: Column) -> Column:
     return F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", None).when(F.regexp_like(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")), "number").otherwise("other")
 
 
+def _alias_map(fields: tuple[Field, ...]) -> Column:
+    return F.create_map(*[F.lit(x) for f in fields for a in f.aliases for x in (a, f.name)]) if fields else F.create_map(F.lit(""), F.lit(""))
+
+
 def ingest(df: DataFrame, keep: list[str], payload: str = "payload", fields: tuple[Field, ...] = CLINICAL_FIELDS, rescue: str = "_rescued") -> DataFrame:
-    """``unify`` with the log of each line: ``_log``, an array of (name, type, field), field being the one that takes the value (its
-    aliases have the name and the value casts) and NULL for rescued and null values."""
+    """``unify`` with the log of each line: ``_log``, an array of (name, type, field), field being the one of the target schema that
+    entries of this name go to and NULL for those that can only be rescued."""
     v = _parsed(df.select(*keep, payload), payload)
     entries = v.withColumn("__m", _entries("__v")).withColumn("__t", F.transform_values("__m", lambda _, x: F.try_variant_get(x, "$", "string")))
     cols, used = {}, []
@@ -95,12 +99,8 @@ def ingest(df: DataFrame, keep: list[str], payload: str = "payload", fields: tup
     stored = F.array_compact(F.array(*used)) if fields else F.array().cast("array<string>")
     left = F.map_filter("__m", lambda k, x: ~F.coalesce(F.array_contains(stored, k), F.lit(False)) & (F.schema_of_variant(x) != "VOID"))
     rest = F.when(F.col("__v").isNull() & F.col(payload).isNotNull(), F.to_json(F.create_map(F.lit("_line"), F.col(payload)))).when(F.size(left) > 0, F.to_json(left))
-
-    def fits(name: Column, value: Column) -> Column:
-        text = F.try_variant_get(value, "$", "string")
-        return F.coalesce(*[F.when(name.isin(*f.aliases) & f.cast(text).isNotNull(), F.lit(f.name)) for f in fields], F.lit(None).cast("string"))
-
-    log = F.transform(F.map_entries("__m"), lambda e: F.struct(e["key"].alias("name"), _kind(e["value"]).alias("type"), fits(e["key"], e["value"]).alias("field")))
+    alias_of = _alias_map(fields)
+    log = F.transform(F.map_entries("__m"), lambda e: F.struct(e["key"].alias("name"), _kind(e["value"]).alias("type"), F.element_at(alias_of, e["key"]).alias("field")))
     return out.select(*keep, *[F.col(f"__{f.name}")["value"].alias(f.name) for f in fields], F.col("__v").isNotNull().alias("_readable"), rest.alias(rescue), F.when(F.col("__v").isNotNull(), log).alias("_log"))
 
 
@@ -116,7 +116,7 @@ def unify(df: DataFrame, keep: list[str], payload: str = "payload", fields: tupl
 def field_types(table: DataFrame, keys: list[str]) -> DataFrame:
     """From the log of an ingested table, for each file (``keys``) and name in any of its readable lines: ``field_name``, ``type``
     (string, number, boolean, or other, that of most non-null values, the first by name on a tie; NULL if all are null), ``field``
-    (where values were stored; NULL: only rescued ones) and ``n`` (lines that have it)."""
+    (of the target schema, NULL if its values are rescued) and ``n`` (lines that have it)."""
     cells = table.select(*keys, F.inline("_log"))
     by_kind = cells.groupBy(*keys, F.col("name").alias("field_name"), F.col("type").alias("kind")).agg(F.count("*").alias("n"), F.max("field").alias("field"))
     best = F.max(F.when(F.col("kind").isNotNull(), F.struct(F.col("n").alias("n"), F.translate("kind", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba").alias("last"), F.col("kind").alias("kind"))))
@@ -191,9 +191,7 @@ def schema_changes(df: DataFrame, feed: str = "feed", file_id: str = "file_id",
     old = n.join(o, (F.col("n.__before") == F.col("o.__before")) & F.col("n.__feed").eqNullSafe(F.col("o.__feed"))).select("n.__feed", "n.__file", "n.__before", "field_name", "field", "old_type", F.lit(True).alias("__old"))
     both = cur.unionByName(old, allowMissingColumns=True)
     both = both.groupBy("__feed", "__file", "__before", "field_name").agg(F.max("new_type").alias("new_type"), F.max("__new").alias("is_new"), F.max("old_type").alias("old_type"), F.max("__old").alias("is_old"), F.max("field").alias("field"))
-    alias_of = F.create_map(*[F.lit(x) for f in fields for a in f.aliases for x in (a, f.name)]) if fields else F.create_map(F.lit(""), F.lit(""))
-    concept = F.coalesce("field", F.element_at(alias_of, F.col("field_name")))
-    both = both.withColumns({"concept": F.coalesce(concept, F.concat(F.lit("="), _same_name(F.col("field_name")))), "evidence": F.when(concept.isNotNull(), "schema").otherwise("spelling")})
+    both = both.withColumns({"concept": F.coalesce("field", F.concat(F.lit("="), _same_name(F.col("field_name")))), "evidence": F.when(F.col("field").isNotNull(), "schema").otherwise("spelling")})
     row = ["__file", "field_name", "change", "old_name", "old_type", "new_type", "evidence", "confidence"]
     none = F.lit(None).cast("string")
     stayed = both.where("is_new and is_old and old_type <> new_type").select("__file", "field_name", F.lit("retyped").alias("change"), F.col("field_name").alias("old_name"), "old_type", "new_type", none.alias("evidence"), F.lit(1.0).alias("confidence"))
