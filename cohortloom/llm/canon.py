@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cohortloom.functions.clean import BLANK
 from cohortloom.session import stage
@@ -26,6 +27,14 @@ def normalised(c: Column, noise: str, rewrites: list[tuple[str, str]]) -> Column
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
+def normal_form(field: Column, value: Column, rules: dict[str, tuple[str, list[tuple[str, str]]]]) -> Column:
+    """``normalised`` by the rules of the field; NULL for fields without rules."""
+    out = F.lit(None).cast("string")
+    for name, (noise, rewrites) in rules.items():
+        out = F.when(field == name, normalised(value, noise, rewrites)).otherwise(out)
+    return out
+
+
 def map_to_canon(
     values: DataFrame, field: str, value: str, reference: DataFrame, rules: dict[str, tuple[str, list[tuple[str, str]]]], *, n: int = 2, threshold: float | dict[str, float] = 0.62, margin: float = 0.06
 ) -> DataFrame:
@@ -36,32 +45,36 @@ def map_to_canon(
     rewrites that bring a value to normal form. Values are made distinct first, so work follows the distinct values. An
     n-gram index of the surfaces (gram to surface and weight) gives the candidates; the score is the cosine of weighted
     gram sets, a gram weighing ln(1 + entries / entries with it); an entry is accepted at ``threshold`` (one, or one by field) or more if it is
-    ``margin`` ahead of every other entry. A value equal to a surface scores 1. Nulls are no values; a value that is empty in normal form is
-    unmatched; fields without a reference are unmatched. The reference must fit into memory (it is an authority list);
-    its join is left to the optimizer."""
+    ``margin`` ahead of every other entry. Of a value's grams the commonest are not looked up, as many as can't lift a score to
+    threshold - margin between them (Cauchy-Schwarz), so a large reference isn't joined by its frequent grams and no entry that
+    matters is lost; ``score`` and ``runner_up`` are 0 where no entry comes near. A value equal to a surface scores 1. Nulls are no
+    values; a value that is empty in normal form is unmatched; fields without a reference are unmatched. The index is a
+    table like any other; its joins are left to the optimizer."""
     distinct = values.select(F.col(field).alias("field"), F.col(value).alias("value")).where("value is not null and field is not null").distinct()
-    norm = F.lit(None).cast("string")
-    for name, (noise, rewrites) in rules.items():
-        norm = F.when(F.col("field") == name, normalised(F.col("value"), noise, rewrites)).otherwise(norm)
-    distinct = stage(distinct.withColumn("norm", norm), "values")
+    distinct = stage(distinct.withColumn("norm", normal_form(F.col("field"), F.col("value"), rules)), "values")
     forms = distinct.select("field", "norm").where("norm is not null and norm <> ''").distinct()
     surfaces = reference.select("field", "entry", "surface").distinct()
     ref = surfaces.select("field", "entry", "surface", F.explode(grams(F.col("surface"), n)).alias("gram"))
     kinds = surfaces.groupBy("field").agg(F.count_distinct("entry").alias("kinds"))
-    weight = ref.groupBy("field", "gram").agg(F.count_distinct("entry").alias("df")).join(kinds, "field").select("field", "gram", F.log(1 + F.col("kinds") / F.col("df")).alias("w"), F.log(1 + F.col("kinds") / 0.5).alias("unseen"))
+    weight = ref.groupBy("field", "gram").agg(F.count_distinct("entry").alias("df")).join(kinds, "field").select("field", "gram", F.log(1 + F.col("kinds") / F.col("df")).alias("w"))
     index = stage(ref.join(weight, ["field", "gram"]), "index")
-    length = index.groupBy("field", "entry", "surface").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"))
-    asked = forms.select("field", "norm", F.explode(grams(F.col("norm"), n)).alias("gram"))
-    weighed = asked.join(index.select("field", "gram", "w").distinct(), ["field", "gram"], "left").join(kinds, "field", "left")
-    own = weighed.groupBy("field", "norm").agg(F.sum(F.pow(F.coalesce("w", F.log(1 + F.col("kinds"))), 2)).alias("own2"))
-    dot = asked.join(index, ["field", "gram"]).groupBy("field", "norm", "entry", "surface").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    scored = dot.join(length, ["field", "entry", "surface"]).join(own, ["field", "norm"]).select("field", "norm", "entry", F.when(F.col("norm") == F.col("surface"), 1.0).otherwise(F.least(F.lit(0.999), F.col("dot") / F.sqrt(F.col("norm2") * F.col("own2")))).alias("score"))
-    by_entry = scored.groupBy("field", "norm", "entry").agg(F.max("score").alias("score"))
-    ranks = by_entry.groupBy("field", "norm").agg(F.sort_array(F.collect_list(F.struct("score", "entry")), asc=False).alias("r"))  # one an entry: as long as the reference list
-    top, second = F.get("r", F.lit(0)), F.coalesce(F.get("r", F.lit(1))["score"], F.lit(0.0))
     if isinstance(threshold, dict):
         least = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in threshold.items() for x in kv]), F.col("field")), F.lit(1.0))
     else:
         least = F.lit(threshold)
-    best = ranks.select("field", "norm", top["score"].alias("score"), second.alias("runner_up"), F.when((top["score"] >= least) & (top["score"] - second >= margin), top["entry"]).alias("entry"))
+    length = index.groupBy("field", "entry", "surface").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"))
+    asked = forms.select("field", "norm", F.explode(grams(F.col("norm"), n)).alias("gram"))
+    asked = asked.join(index.select("field", "gram", "w").distinct(), ["field", "gram"], "left").join(kinds, "field", "left")
+    by_form = W.partitionBy("field", "norm")
+    asked = asked.withColumn("own2", F.sum(F.pow(F.coalesce("w", F.log(1 + F.col("kinds"))), 2)).over(by_form)).where("w is not null")
+    common = F.sum(F.col("w") * F.col("w")).over(by_form.orderBy("w", "gram").rowsBetween(W.unboundedPreceding, 0))  # commonest first
+    asked = stage(asked.withColumn("look", common >= F.pow(F.greatest(least - margin, F.lit(0.0)), 2) * F.col("own2")), "asked")
+    likely = asked.where("look").join(index, ["field", "gram"]).select("field", "norm", "entry", "surface", "own2").distinct()
+    mine, theirs = asked.select("field", "norm", "gram"), index.select("field", "entry", "surface", "gram", "w")
+    dot = likely.join(mine, ["field", "norm"]).join(theirs, ["field", "entry", "surface", "gram"]).groupBy("field", "norm", "entry", "surface", "own2").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+    scored = dot.join(length, ["field", "entry", "surface"]).select("field", "norm", "entry", F.when(F.col("norm") == F.col("surface"), 1.0).otherwise(F.least(F.lit(0.999), F.col("dot") / F.sqrt(F.col("norm2") * F.col("own2")))).alias("score"))
+    by_entry = scored.groupBy("field", "norm", "entry").agg(F.max("score").alias("score"))
+    two = by_entry.withColumn("k", F.row_number().over(by_form.orderBy(F.desc("score"), F.desc("entry")))).where("k <= 2")
+    ranks = two.groupBy("field", "norm").agg(F.max(F.when(F.col("k") == 1, F.struct("score", "entry"))).alias("top"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("score"))), F.lit(0.0)).alias("runner_up"))
+    best = ranks.select("field", "norm", "top.score", "runner_up", F.when((F.col("top.score") >= least) & (F.col("top.score") - F.col("runner_up") >= margin), F.col("top.entry")).alias("entry"))
     return distinct.join(best, ["field", "norm"], "left").select("field", "value", F.coalesce("entry", F.lit(UNMATCHED)).alias("entry"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("runner_up", F.lit(0.0)).alias("runner_up"))

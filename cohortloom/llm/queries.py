@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions.clean import NO_VALUE, block_key, cohort_key, no_value_number, no_value_text, patient_key, squash, stage_code
-from cohortloom.llm.canon import UNMATCHED, map_to_canon
+from cohortloom.llm.canon import UNMATCHED, map_to_canon, normal_form
 from cohortloom.llm.leaks import find_leaks
 from cohortloom.llm.packing import pack, token_count
 from cohortloom.llm.spans import document_pairs, share_of_documents, shared_spans
@@ -77,11 +77,8 @@ RULES = {
         [(r"[._()-]+", " "), (r" +", " "), (r"^ *([ab]) luminal *$", "luminal $1"), (r"\blum ?([ab])\b", "luminal $1"), (r"\bluminal([ab])\b", "luminal $1"), (r"\b(basal|normal)like\b", "$1 like"), (r"\berbb2/her ?2\b", "her2"), (r"\bher 2\b", "her2"), (r"\bher2 e(?:nr)?\b", "her2 enriched"), (r" type *$", "")],
     ),
 }
-SURFACES = {
-    ("stage", "I"): ["one", "stage one"], ("stage", "II"): ["two", "stage two"], ("stage", "III"): ["three", "stage three"], ("stage", "IV"): ["four", "stage four"],
-    ("subtype_er", "POSITIVE"): ["positive"], ("subtype_er", "NEGATIVE"): ["negative"],
-    ("subtype_pam50", "BASAL"): ["basal", "basal like"], ("subtype_pam50", "HER2"): ["her2", "her2 enriched"], ("subtype_pam50", "LUMA"): ["luminal a"], ("subtype_pam50", "LUMB"): ["luminal b"], ("subtype_pam50", "NORMAL"): ["normal", "normal like", "normal breast like"],
-}
+#: A spelling that neither the entry nor its label has.
+SPELLINGS = {("subtype_pam50", "NORMAL"): ["normal breast like"]}
 MAPPED = ("stage", "subtype_er", "subtype_pam50")
 #: Least cosine by field: "grade 2" must not pass for "stage 2", so stages, told apart by one word, need more than the rest.
 LEAST = {"stage": 0.62, "subtype_er": 0.45, "subtype_pam50": 0.45}
@@ -93,12 +90,17 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "clinical").select("rec_id", F.explode(F.array_compact(cells)).alias("c")).select("rec_id", "c.*")
 
 
-def mapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ref_surfaces(ref: DataFrame, rules: dict = RULES) -> DataFrame:
+    """Spellings of the entries in normal form: the entry, its label up to a comma, and ``SPELLINGS``. field, entry, surface."""
+    extra = F.coalesce(*[F.when((F.col("field") == f) & (F.col("entry") == e), F.array(*map(F.lit, forms))) for (f, e), forms in SPELLINGS.items()], F.array().cast("array<string>"))
+    texts = F.concat(F.array(F.col("entry"), F.substring_index("label", ",", 1)), extra)
+    long = ref.select("field", "entry", F.explode(texts).alias("text")).where("text is not null")
+    return long.select("field", "entry", F.coalesce(normal_form(F.col("field"), F.col("text"), rules), F.lower("text")).alias("surface")).distinct()
+
+
+def mapped_values(spark: SparkSession, sf_dir: str, rules: dict = RULES) -> DataFrame:
     """The entry of ref_values that each distinct typed value names."""
-    ref = table(spark, sf_dir, "ref_values").select("field", "entry")
-    known = spark.createDataFrame([(f, e, s) for (f, e), forms in SURFACES.items() for s in forms], "field string, entry string, surface string")
-    surfaces = ref.join(known, ["field", "entry"]).unionByName(ref.join(known, ["field", "entry"], "left_anti").withColumn("surface", F.lower("entry")))
-    return map_to_canon(typed_values(spark, sf_dir), "field", "value", surfaces, RULES, threshold=LEAST)
+    return map_to_canon(typed_values(spark, sf_dir), "field", "value", ref_surfaces(table(spark, sf_dir, "ref_values"), rules), rules, threshold=LEAST)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +115,18 @@ def p6_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped_values(spark, sf_dir).join(n, ["field", "value"]).select("field", "value", "entry", F.round("score", 4).alias("score"), F.round("runner_up", 4).alias("runner_up"), "n")
 
 
+def p6_without_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index alone maps, without rewrites, beside the mapping with them. Of the cells that aren't exactly an entry, by field:
+    n, mapped (with rules), alike (the same entry without), lost (unmatched without), other (another entry)."""
+    plain = mapped_values(spark, sf_dir, {f: (r"[^\p{L}\p{N}+-]+", []) for f in RULES}).select("field", "value", F.col("entry").alias("plain"))
+    exact = table(spark, sf_dir, "ref_values").select("field", F.col("entry").alias("value"))
+    cells = typed_values(spark, sf_dir).groupBy("field", "value").agg(F.count("*").alias("k")).join(F.broadcast(exact), ["field", "value"], "left_anti")  # ref_values: a fixed list
+    j = cells.join(mapped_values(spark, sf_dir), ["field", "value"]).join(plain, ["field", "value"])
+    n = lambda cond: F.sum(F.when(cond, F.col("k")).otherwise(0))
+    named = F.col("entry") != UNMATCHED
+    return j.groupBy("field").agg(F.sum("k").alias("n"), n(named).alias("mapped"), n(named & (F.col("plain") == F.col("entry"))).alias("alike"), n(named & (F.col("plain") == UNMATCHED)).alias("lost"), n((F.col("plain") != UNMATCHED) & (F.col("plain") != F.col("entry"))).alias("other"))
+
+
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
     return pack(docs, "doc_id", "tokens", table(spark, sf_dir, "pack_plan"))
@@ -154,7 +168,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p6_mapping": p6_mapping, "p7_found": p7_found, "p7_containers": p7_containers,
+    "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p6_mapping": p6_mapping, "p6_without_rules": p6_without_rules, "p7_found": p7_found, "p7_containers": p7_containers,
     "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_shares": p9_shares,
 }
 

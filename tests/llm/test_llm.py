@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm.canon import map_to_canon
 from cohortloom.llm.leaks import find_leaks, myers, words_of
 from cohortloom.llm.packing import pack, pack_sizes, token_count
-from cohortloom.llm.queries import RULES, SURFACES
+from cohortloom.llm.queries import RULES, ref_surfaces
 from cohortloom.llm.spans import SpanIndex, document_pairs, share_of_documents, shared_spans
 from cohortloom.llm.splits import assign_splits, hash_to_min, linked_sets
 from cohortloom.llm.survivors import fuse
@@ -144,7 +144,9 @@ def test_hot_keys_are_split(spark):
 
 # ---- canonical values ------------------------------------------------------------------------------------------------
 def test_mapping(spark):
-    ref = spark.createDataFrame([(f, e, s) for (f, e), forms in SURFACES.items() for s in forms], "field string, entry string, surface string")
+    entries = [("subtype_pam50", e, v) for e, v in (("BASAL", "Basal-like"), ("HER2", "HER2-enriched"), ("LUMA", "Luminal A"), ("LUMB", "Luminal B"), ("NORMAL", "Normal-like"))]
+    entries += [("subtype_er", "NEGATIVE", "oestrogen receptor not expressed"), ("subtype_er", "POSITIVE", None), ("stage", "I", "stage one"), ("stage", "II", "stage two, with its sub-stages"), ("stage", "III", "stage three"), ("stage", "IV", "stage four")]
+    ref = ref_surfaces(spark.createDataFrame(entries, "field string, entry string, label string"))
     want = {
         ("stage", "pIIA"): "II", ("stage", "sage III [reviewed]"): "III", ("stage", "IV AJCC7"): "IV", ("stage", "grade 2"): "UNMATCHED", ("stage", "2 at entry"): "II", ("stage", "stage four"): "IV", ("stage", "luminal"): "UNMATCHED",
         ("subtype_er", "er pos. / IHC"): "POSITIVE", ("subtype_er", "psoitive"): "POSITIVE", ("subtype_er", "ER-"): "NEGATIVE", ("subtype_er", "0.0 *"): "NEGATIVE", ("subtype_er", "borderline"): "UNMATCHED", ("subtype_er", "HER2 3+"): "UNMATCHED", ("subtype_er", "?!"): "UNMATCHED",
