@@ -186,5 +186,12 @@ SQL: dict[str, str] = {
     "p9_found": """WITH w AS (SELECT doc_id, md5_number_lower(substr(text, i, 400)) AS h, md5_number_upper(substr(text, i, 400)) AS g FROM documents, unnest(range(1, length(text) - 398)) AS t(i) WHERE length(text) >= 400),
         k AS (SELECT g, h FROM w GROUP BY 1, 2 HAVING min(doc_id) < max(doc_id)), s AS (SELECT DISTINCT doc_id, g, h FROM w SEMI JOIN k USING (g, h))
         SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.g = b.g AND a.h = b.h AND a.doc_id < b.doc_id""",
+    "p9_shares": """WITH d AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, i, md5_number_lower(substr(text, i, 400)) AS h, md5_number_upper(substr(text, i, 400)) AS g FROM d, unnest(range(1, length(text) - 398)) AS t(i) WHERE doc_id = class_id AND length(text) >= 400),
+        k AS (SELECT g, h FROM w GROUP BY 1, 2 HAVING min(doc_id) < max(doc_id)), s AS (SELECT doc_id, i, g, h FROM w SEMI JOIN k USING (g, h)), u AS (SELECT DISTINCT doc_id, g, h FROM s),
+        c AS (SELECT doc_id, sum(least(400, coalesce(following - i, 400))) AS shared FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM s) GROUP BY 1),
+        l AS (SELECT a.doc_id, count(DISTINCT b.doc_id) AS n_links FROM u a JOIN u b USING (g, h) WHERE a.doc_id <> b.doc_id GROUP BY 1),
+        o AS (SELECT d.doc_id, class_id, n_copies, coalesce(n_links, 0) AS n_links, (CASE WHEN n_copies > 1 THEN length(text) ELSE coalesce(shared, 0) END)::INT AS shared_chars, length(text) AS chars FROM d LEFT JOIN c ON class_id = c.doc_id LEFT JOIN l ON class_id = l.doc_id)
+        SELECT doc_id, class_id, n_copies, n_links, shared_chars, round(CASE WHEN chars > 0 THEN shared_chars / chars ELSE 0 END, 6) AS share FROM o""",
     "p7_found": r"""SELECT plan_id, doc_id FROM (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{00a0}\x{0085}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+')) AS n FROM documents) JOIN pack_plan ON n > capacity_tokens""",
 }
