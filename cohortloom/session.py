@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; removed when Python ends."""
+    """A fresh path in the shared folder; removed by ``release`` or when Python ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _STAGED.append((spark, path))
     return path
@@ -57,8 +57,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _STAGED:
+def release() -> None:
+    """Remove every staged table. For long sessions, once the results built on them are written; runs when Python ends too."""
+    while _STAGED:
+        spark, path = _STAGED.pop()
         try:
             drop_path(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
