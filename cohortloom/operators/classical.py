@@ -78,11 +78,11 @@ def correlation_pairs(df: DataFrame, entity: str, feature: str, value: str) -> D
 
 def sign_test(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One-sided binomial test of negative signs: k of n below 0, p = P(X >= k) for a fair coin. Zeros and nulls don't count.
-    The binomial terms are summed from the top by the ratio of neighbours, so nothing overflows below n = 1000."""
+    The binomial terms are summed from the top by the ratio of neighbours, in logarithms, so nothing overflows for any n."""
     d = df.where(F.col(value) != 0).groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(F.col(value) < 0, 1)).alias("k"))
-    start = F.struct(F.pow(F.lit(0.5), F.col("n")).alias("t"), F.lit(0.0).alias("s"))
-    total = F.aggregate(F.sequence(F.col("n"), F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")), start, lambda acc, i: F.struct((acc["t"] * i / (F.col("n") - i + 1)).alias("t"), (acc["s"] + F.when(i >= F.col("k"), acc["t"]).otherwise(0.0)).alias("s")), lambda acc: acc["s"])
-    return d.withColumn("p_one_sided", F.when(F.col("k") == 0, 1.0).otherwise(total))
+    start = F.struct((F.col("n") * F.log(F.lit(0.5))).alias("t"), F.lit(0.0).alias("s"))
+    total = F.aggregate(F.sequence(F.col("n"), F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")), start, lambda acc, i: F.struct((acc["t"] + F.log(i / (F.col("n") - i + 1))).alias("t"), (acc["s"] + F.when(i >= F.col("k"), F.exp(acc["t"])).otherwise(0.0)).alias("s")), lambda acc: acc["s"])
+    return d.withColumn("p_one_sided", F.when(F.col("k") == 0, 1.0).otherwise(F.least(F.lit(1.0), total)))
 
 
 def random_effects(df: DataFrame, effect: str, se: str, by: Sequence[str] = ()) -> DataFrame:

@@ -86,3 +86,25 @@ def test_renames_without_aliases_come_from_values(spark):
     df = spark.createDataFrame(rows, "feed string, file_id long, exported_on string, line_no int, payload string")
     got = {(r["field_name"], r["change"]) for r in drift.schema_changes(df, fields=()).collect()}
     assert got == {("category", "renamed"), ("months_followup", "renamed"), ("bmi", "removed"), ("tils", "added")}
+
+
+def test_assignment_is_the_best_of_all_orders():
+    from itertools import permutations
+
+    from cohortloom.operators.factorise import best_assignment
+
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 4, 6):
+        g = rng.normal(size=(n, n))
+        got = best_assignment(g)
+        assert sorted(got) == list(range(n)) and sum(g[i, got[i]] for i in range(n)) == pytest.approx(max(sum(g[i, p[i]] for i in range(n)) for p in permutations(range(n))))
+
+
+def test_sign_test_of_many_signs(spark):
+    from math import comb
+
+    from cohortloom.operators.classical import sign_test
+
+    df = spark.range(3000).select(F.when(F.col("id") < 1560, -1.0).otherwise(1.0).alias("v"))
+    want = sum(comb(3000, i) for i in range(1560, 3001)) / 2**3000
+    assert sign_test(df, "v").first()["p_one_sided"] == pytest.approx(want, rel=1e-6)
