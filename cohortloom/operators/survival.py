@@ -94,54 +94,82 @@ def pairwise_logrank(df: DataFrame, time: str, event: str, group: str) -> DataFr
     return pairs.join(out, ["a", "b"], "left").select("a", "b", "observed", "expected", F.coalesce(ratio(F.pow(F.col("observed") - F.col("expected"), 2), F.col("v")), F.lit(0.0)).alias("chi2"))
 
 
-def concordance(df: DataFrame, time: str, event: str, risk: str, by: Sequence[str] = (), bins: int = 256) -> DataFrame:
+#: Most rows (of distinct time and risk) that a bin of ``concordance`` should hold; more make more bins.
+BIN_ROWS = 50_000
+
+
+def concordance(df: DataFrame, time: str, event: str, risk: str, by: Sequence[str] = (), bins: int = 256, rows: int = BIN_ROWS) -> DataFrame:
     """Harrell's C (higher risk, earlier event): concordant, tied, comparable, c_index by group.
 
-    Pairs are counted, not formed: rows are reduced to counts by (time, risk), and each event needs the numbers of later
-    rows of lower and of equal risk. These come from counts by (time bin, risk) for whole later bins and a join within the
-    event's own bin only, so the work is events x bins + pairs within a bin, not rows squared. Exact for any ``bins``."""
-    d = valid_outcomes(df, time, event).where(F.col(risk).isNotNull()).select(*by, F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r"))
-    cells = d.groupBy(*by, "t", "r").agg(F.count("*").alias("n"), F.sum("e").alias("ne"))
-    edges = d.groupBy(*by).agg(F.percentile_approx("t", [i / bins for i in range(1, bins)], 10_000).alias("cuts"))
-    cells = cells.join(edges, list(by)) if by else cells.crossJoin(F.broadcast(edges))  # without groups: one row
-    cells = cells.withColumn("bin", F.size(F.filter("cuts", lambda x: x < F.col("t")))).drop("cuts")
-    # whole later bins: cumulative counts by risk, later bins first
-    ranked = cells.withColumn("rank", F.dense_rank().over(W.partitionBy(*by).orderBy("r")))
-    own = W.partitionBy(*by, "bin").orderBy("rank")
-    below = ranked.groupBy(*by, "bin", "rank").agg(F.sum("n").alias("m")).withColumn("lower", F.sum("m").over(own) - F.col("m"))
-    grid = below.select(*by, F.col("bin").alias("late"), F.col("rank").alias("rr"), "m", "lower")
-    ev = ranked.where("ne > 0").select(*by, "t", "bin", "rank", F.col("ne").alias("w"))
-    near = ranked.select(*by, F.col("t").alias("t2"), "bin", F.col("rank").alias("rank2"), F.col("n").alias("n2"), F.col("ne").alias("ne2"))
-    same = ev.join(near, [*by, "bin"]).where("t2 > t")
-    local = same.groupBy(*by).agg(F.sum(F.when(F.col("rank2") < F.col("rank"), F.col("w") * F.col("n2")).otherwise(0)).alias("c"), F.sum(F.when(F.col("rank2") == F.col("rank"), F.col("w") * F.col("n2")).otherwise(0)).alias("e"), F.sum(F.col("w") * F.col("n2")).alias("p"))
-    # events by bin and rank against later bins: both sides are counts
-    few = ev.groupBy(*by, "bin", "rank").agg(F.sum("w").alias("w"))
-    later = few.join(grid.groupBy(*by, "late").agg(F.sum("m").alias("all_m"), F.sort_array(F.collect_list(F.struct("rr", "lower", "m"))).alias("ladder")), list(by)) if by else few.crossJoin(F.broadcast(grid.groupBy("late").agg(F.sum("m").alias("all_m"), F.sort_array(F.collect_list(F.struct("rr", "lower", "m"))).alias("ladder"))))
-    later = later.where("late > bin")
-    lower = F.aggregate("ladder", F.lit(0).cast("long"), lambda a, x: a + F.when(x["rr"] < F.col("rank"), x["m"]).otherwise(F.lit(0).cast("long")))
-    equal = F.aggregate("ladder", F.lit(0).cast("long"), lambda a, x: a + F.when(x["rr"] == F.col("rank"), x["m"]).otherwise(F.lit(0).cast("long")))
-    far = later.groupBy(*by).agg(F.sum(F.col("w") * lower).alias("c"), F.sum(F.col("w") * equal).alias("e"), F.sum(F.col("w") * F.col("all_m")).alias("p"))
-    both = local.unionByName(far).groupBy(*by).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(y) for x, y in (("c", "concordant"), ("e", "tied"), ("p", "comparable"))])
+    Pairs are counted, not formed: rows are reduced to counts by (time, risk) and a group is cut into bins of about ``rows`` of
+    them by time and, apart, by risk (at most ``bins`` each). A pair is either within a bin of time, or in two of them and within
+    a bin of risk, or in two of both: the first two are counted in n log(n) in a task a bin, the last from the grid of counts by
+    both bins. Exact for any ``bins`` and ``rows``."""
+    keys = list(by)
+    d = valid_outcomes(df, time, event).where(F.col(risk).isNotNull()).select(*keys, F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r"))
+    cells = d.groupBy(*keys, "t", "r").agg(F.count("*").alias("n"), F.sum("e").alias("ne"))
+    parts = [i / bins for i in range(1, bins)] or [0.5]
+    edges = d.groupBy(*keys).agg(F.count("*").alias("m"), *[F.percentile_approx(c, parts, 10_000).alias(f"c{c}") for c in "tr"])
+    few = F.ceil(F.col("m") / rows)  # bins that are needed; of the cuts, which are alike in number, that many are kept
+    some = lambda c: F.filter(c, lambda x, i: F.floor((i + 2) * few / bins) > F.floor((i + 1) * few / bins)) if bins > 1 else F.filter(c, lambda x: F.lit(False))
+    edges = edges.select(*keys, *[F.array_distinct(some(f"c{c}")).alias(f"c{c}") for c in "tr"])
+    cells = cells.join(edges, keys) if keys else cells.crossJoin(F.broadcast(edges))  # without groups: one row
+    place = lambda c: F.size(F.filter(f"c{c}", lambda x: x < F.col(c))).alias(f"b{c}")
+    cells = cells.select(*keys, "t", "r", "n", "ne", place("t"), place("r"), (F.size("ct") > 0).alias("cut"))
+    own = F.struct(F.lit(0).alias("side"), F.col("bt").alias("bin"), F.col("t").alias("x"))
+    other = F.struct(F.lit(1).alias("side"), F.col("br").alias("bin"), F.col("bt").cast("double").alias("x"))
+    sides = cells.select(*keys, "r", "n", "ne", F.explode(F.when(F.col("cut"), F.array(own, other)).otherwise(F.array(own))).alias("s")).select(*keys, "s.*", "r", "n", "ne")
+    grid = cells.where("cut").groupBy(*keys, "bt", "br").agg(F.sum("n").alias("n"), F.sum("ne").alias("ne"))
+    sides = sides.unionByName(grid.select(*keys, F.lit(2).alias("side"), F.lit(0).alias("bin"), F.col("bt").cast("double").alias("x"), F.col("br").cast("double").alias("r"), "n", "ne"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        good, ties, pairs = pair_counts(*(pdf[c].to_numpy() for c in ("x", "r", "ne", "n")))
+        if pdf["side"].iloc[0] == 2:  # two bins of both: the same bin of risk is counted on the rows
+            ties, pairs = 0, pairs - ties
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "c": [good], "e": [ties], "p": [pairs]})
+
+    kinds = dict(d.dtypes)
+    counts = sides.groupBy(*keys, "side", "bin").applyInPandas(count, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "c long, e long, p long"]))
+    both = counts.groupBy(*keys).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(y) for x, y in (("c", "concordant"), ("e", "tied"), ("p", "comparable"))])
+    both = both.where("comparable > 0") if keys else both
     return both.withColumn("c_index", ratio(F.col("concordant") + 0.5 * F.col("tied"), F.col("comparable")))
 
 
+def pair_counts(time: np.ndarray, risk: np.ndarray, events: np.ndarray, total: np.ndarray) -> tuple:
+    """Concordant, tied and comparable pairs of rows that stand for ``total`` rows with ``events`` among them, in n log(n): a pair of
+    unequal times is counted at the highest bit in which the ranks of its times differ. Rows stay sorted by (higher bits, risk)."""
+    if not len(time):
+        return 0, 0, 0
+    r = np.unique(risk, return_inverse=True)[1]
+    order = np.argsort(r, kind="stable")
+    t, r = np.unique(time, return_inverse=True)[1][order], r[order]
+    events, total = events[order], total[order]
+    at, n, zero, top = np.arange(len(r)), len(r), total.dtype.type(0), int(t.max())
+    good = ties = pairs = zero
+    for bit in range(top.bit_length() - 1, -1, -1):
+        block, one = t >> (bit + 1), (t >> bit) & 1 == 1
+        late = np.concatenate([[zero], np.cumsum(np.where(one, total, zero))])
+        new = np.concatenate([[True], block[1:] != block[:-1]])
+        tie = new | np.concatenate([[True], r[1:] != r[:-1]])
+        early = np.flatnonzero(~one & (events > 0))
+        spans = []
+        for first in (new, tie):  # where the early row's block, then its run of equal risks, begins and ends
+            starts = at[first]
+            which = (np.cumsum(first) - 1)[early]
+            spans += [late[starts[which]], late[np.append(starts[1:], n)[which]]]
+        w = events[early]
+        good += (w * (spans[2] - spans[0])).sum()
+        ties += (w * (spans[3] - spans[2])).sum()
+        pairs += (w * (spans[1] - spans[0])).sum()
+        key = t >> bit
+        move = np.argsort(key.astype(np.uint16) if top < 65536 else key, kind="stable")  # blocks fall in two
+        t, r, events, total = t[move], r[move], events[move], total[move]
+    return good, ties, pairs
+
+
 def concordance_kernel(time: np.ndarray, event: np.ndarray, risk: np.ndarray, weight: np.ndarray) -> float | None:
-    """Harrell's C of weighted rows in n log(n)^2 (as ``concordance`` on rows repeated by weight). A pair of unequal times is
-    counted at the highest bit in which the ranks of its times differ."""
-    t, r = np.unique(time, return_inverse=True)[1], np.unique(risk, return_inverse=True)[1]
-    width, good, ties, pairs = len(r) + 1, 0.0, 0.0, 0.0
-    for bit in range(int(t.max(initial=0)).bit_length()):
-        one = (t >> bit) & 1 == 1
-        early, late, block = ~one & (event > 0), np.flatnonzero(one), (t >> (bit + 1)) * width
-        key = (block + r)[late]
-        order = np.argsort(key, kind="stable")
-        key, total = key[order], np.concatenate([[0.0], np.cumsum(weight[late][order])])
-        upto = lambda v, side: total[np.searchsorted(key, v, side)]
-        b, v, w = block[early], (block + r)[early], weight[early]
-        low = upto(v, "left")
-        good += (w * (low - upto(b, "left"))).sum()
-        ties += (w * (upto(v, "right") - low)).sum()
-        pairs += (w * (upto(b + width, "left") - upto(b, "left"))).sum()
+    """Harrell's C of weighted rows (as ``concordance`` on rows repeated by weight)."""
+    good, ties, pairs = pair_counts(time, risk, np.where(event > 0, weight, 0), weight)
     return float((good + 0.5 * ties) / pairs) if pairs > 0 else None
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -190,6 +191,30 @@ def test_kaplan_meier_logrank_and_concordance(spark):
         assert (r["concordant"], r["tied"], r["comparable"]) == (c, tie, comp), bins
 
 
+@pytest.mark.parametrize("size", [1, 15, 50_000])
+def test_concordance_by_bins_of_time_and_risk_is_exact(spark, size):
+    rng = np.random.default_rng(11)
+    n = 240
+    t, x, g, e = rng.integers(0, 40, n), np.round(rng.normal(size=n), 1), rng.integers(0, 2, n), rng.integers(0, 2, n)
+    x[:3] = [np.inf, -np.inf, np.nan]
+    d = spark.createDataFrame([(int(a), float(b), int(c), int(k)) for a, b, c, k in zip(t, x, g, e, strict=True)] + [(5, 0.1, 2, 0)], "t long, x double, g int, e int")
+    rank = np.unique(x, return_inverse=True)[1]
+    got = {r["g"]: r for r in survival.concordance(d, "t", "e", "x", ["g"], rows=size).collect()}
+    assert set(got) == {0, 1}
+    for k in got:
+        pair = (g[:, None] == k) & (g[None] == k) & (e[:, None] == 1) & (t[:, None] < t[None])
+        want = [int((pair & m).sum()) for m in (rank[:, None] > rank[None], rank[:, None] == rank[None], True)]
+        assert [got[k][c] for c in ("concordant", "tied", "comparable")] == want
+
+
+def test_concordance_counts_pairs_without_forming_them():
+    rng = np.random.default_rng(12)
+    t, x, e = rng.integers(0, 5000, 300_000), rng.normal(size=300_000), rng.integers(0, 2, 300_000)  # 3e10 pairs
+    began = time.process_time()
+    good, ties, pairs = survival.pair_counts(t, x, e, np.ones(300_000, np.int64))
+    assert time.process_time() - began < 20 and pairs > 2e10 and ties == 0 and abs(good / pairs - 0.5) < 0.01
+
+
 def partial_likelihood(b, x, t, e):
     ll = 0.0
     for u in np.unique(t[e == 1]):
