@@ -386,17 +386,44 @@ def shared_pairs(windows: DataFrame) -> DataFrame:
     return a.join(b, ["h1", "h2", "block"]).where("a < b and (pa is null or pb is null or pa <> pb)").select("a", "b").distinct()
 
 
+def count_links(spans: DataFrame, windows: DataFrame | None) -> DataFrame:
+    """With how many other documents each shares a span: ``d``, ``n_links``; the same however the places were verified.
+
+    Documents of the same begins of shared stretches are one kind and link to each other and to whole kinds, so documents
+    around one passage form no pairs; kinds pair off at one of the windows that the same kinds hold. Spans add the partners
+    that hold no window in common."""
+    pairs = spans.select("d", "o").distinct()
+    if windows is None:
+        return pairs.groupBy("d").agg(F.count("*").alias("n_links"))
+    begins = windows.where("mixed").select("doc", "h1", "h2").distinct()
+    of = begins.groupBy("doc").agg(F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", "h2")).alias("y"), F.count("*").alias("m"))
+    kinds = stage(of.groupBy("x", "y", "m").agg(F.min("doc").alias("kind"), F.count("*").alias("size")), "kinds")
+    of = stage(of.join(kinds, ["x", "y", "m"]).select("doc", "kind", "size"), "kind_of")
+    held = stage(begins.join(kinds.select(F.col("kind").alias("doc"), "size"), "doc").select("h1", "h2", F.col("doc").alias("kind"), "size"), "held")
+    sets = held.groupBy("h1", "h2").agg(F.bit_xor(F.xxhash64("kind")).alias("x"), F.bit_xor(F.xxhash64("kind", F.lit(1))).alias("y"), F.count("*").alias("n")).where("n > 1")
+    one = sets.groupBy("x", "y", "n").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.*", F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
+    w = held.join(one, ["h1", "h2"])
+    a = w.select("h1", "h2", F.col("kind").alias("a"), F.pmod(F.xxhash64("kind"), F.col("blocks")).cast("int").alias("block"))
+    b = w.select("h1", "h2", F.col("kind").alias("b"), "size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    near = stage(a.join(b, ["h1", "h2", "block"]).where("a <> b").select("a", "b", "size").distinct(), "kind_pairs")
+    far = near.groupBy(F.col("a").alias("kind")).agg(F.sum("size").alias("n"))
+    held_links = of.join(far, "kind", "left").select(F.col("doc").alias("d"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    side = lambda c: of.select(F.col("doc").alias(c), F.col("kind").alias(f"k{c}"))
+    rest = pairs.join(side("d"), "d", "left").join(side("o"), "o", "left").where("kd is null or ko is null or kd <> ko")
+    rest = rest.join(near.select(F.col("a").alias("kd"), F.col("b").alias("ko")), ["kd", "ko"], "left_anti")
+    links = held_links.unionByName(rest.groupBy("d").agg(F.count("*").alias("n_links")))
+    return links.groupBy("d").agg(F.sum("n_links").alias("n_links")).where("n_links > 0")
+
+
 def share_of_documents(docs: DataFrame, doc: str, text: str, shared: tuple[DataFrame, DataFrame | None, DataFrame], least: int) -> DataFrame:
     """One row per document with text: ``doc``, ``rep`` (its copy class), ``n_copies``, ``n_links`` (classes that it shares a span
-    with; where a window of it is in more than ``SMALL`` places, at least those that hold the most widely shared one),
-    ``shared_chars``, ``share`` (of its characters found in another document; a text with a copy is shared whole). ``shared``:
-    from ``shared_spans``. No group of documents around one passage is turned into pairs, however large."""
+    with, by ``count_links``), ``shared_chars``, ``share`` (of its characters found in another document; a text with a copy is
+    shared whole). ``shared``: from ``shared_spans``. No group of documents around one passage is turned into pairs, however large."""
     spans, windows, classes = shared
     parts = spans.select("d", "start", "stop")
-    links = spans.groupBy("d").agg(F.count_distinct("o").alias("n_links"))
+    links = count_links(spans, windows)
     if windows is not None:
         parts = parts.unionByName(windows.select(F.col("doc").alias("d"), F.col("at").alias("start"), (F.col("at") + least).alias("stop")))
-        links = links.unionByName(windows.groupBy(F.col("doc").alias("d")).agg((F.max("n_docs") - 1).alias("n_links"))).groupBy("d").agg(F.max("n_links").alias("n_links"))
     ends = parts.groupBy("d", "start").agg(F.max("stop").alias("stop"))  # at most one a character of the text
     before = F.max("stop").over(W.partitionBy("d").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     covered = ends.withColumn("b", before).select("d", F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce("b", "start"))).alias("n")).groupBy("d").agg(F.sum("n").alias("shared"))

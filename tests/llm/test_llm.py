@@ -341,6 +341,19 @@ def test_shares_equal_brute_force(spark, monkeypatch, small):
     assert got == {d: len(x) if d in copied else covered_chars(d, t, 40) for d, x in t.items()}
 
 
+@pytest.mark.parametrize("small", [0, 2, 10**6])
+def test_links_do_not_depend_on_how_places_are_verified(spark, monkeypatch, small):
+    monkeypatch.setattr("cohortloom.llm.spans.SMALL", small)
+    monkeypatch.setattr("cohortloom.llm.spans.HOT", 3)
+    docs = [d for d in corpus(5) if d[0] < 102]
+    df = spark.createDataFrame(docs, "doc_id long, text string, at string")
+    t = {i: x for i, x, _ in docs}
+    rep = {i: min(e for e, y in t.items() if y == x) for i, x in t.items()}
+    links = {i: sum(e != i and longest_common(t[e], t[i]) >= 40 for e in set(rep.values())) for i in set(rep.values())}
+    got = {r["doc"]: r["n_links"] for r in share_of_documents(df, "doc_id", "text", shared_spans(df, "doc_id", "text", "at", least=40, gram=24), 40).collect()}
+    assert got == {i: links[r] for i, r in rep.items()} and len(set(got.values())) > 3
+
+
 def test_span_index_joins_runs_without_shuffling_them_and_compacts(spark, monkeypatch):
     monkeypatch.setattr("cohortloom.llm.spans.HOT", 3)
     monkeypatch.setattr("cohortloom.llm.spans.SMALL", 5)
