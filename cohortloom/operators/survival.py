@@ -222,34 +222,44 @@ def cox_kernel(x: np.ndarray, time: np.ndarray, event: np.ndarray, penalizer: fl
     z, time, event = z[order], time[order], event[order].astype(bool)
     strata = np.zeros(n, int) if strata is None else np.unique(strata[order], return_inverse=True)[1]
 
+    groups, (up, low) = [], np.triu_indices(p)
+    for s in np.unique(strata):
+        tt, ee = time[strata == s], event[strata == s]
+        if ee.any():
+            times, m = np.unique(tt[ee], return_counts=True)  # a time's events are the first of its rows
+            groups.append((np.ascontiguousarray(z[strata == s].T), np.flatnonzero(ee), times, m, np.searchsorted(tt, times)))
+
+    def sums(w: np.ndarray, zz: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of w, w z and w z z' (upper triangle) from each start to the next."""
+        s0, s1, s2 = np.add.reduceat(w, starts), np.empty((p, len(starts))), np.empty((len(up), len(starts)))
+        for i in range(p):
+            wz = w * zz[i]
+            s1[i] = np.add.reduceat(wz, starts)
+            for at in np.flatnonzero(up == i):
+                s2[at] = np.add.reduceat(wz * zz[low[at]], starts)
+        return s0, s1, s2
+
     def parts(b: np.ndarray, residuals: bool = False):
         ll, g, h, res = 0.0, np.zeros(p), np.zeros((p, p)), []
-        for s in np.unique(strata):
-            zz, tt, ee = z[strata == s], time[strata == s], event[strata == s]
-            eta = zz @ b
-            w = np.exp(eta - eta.max())
+        for zz, dead, times, m, first in groups:
+            eta = b @ zz
             top = eta.max()
-            s0 = np.cumsum(w[::-1])[::-1]
-            s1 = np.cumsum((w[:, None] * zz)[::-1], axis=0)[::-1]
-            s2 = np.cumsum((w[:, None, None] * zz[:, :, None] * zz[:, None, :])[::-1], axis=0)[::-1]
-            for t in np.unique(tt[ee]):
-                first = np.searchsorted(tt, t)
-                dead = np.flatnonzero((tt == t) & ee)
-                m = len(dead)
-                d0, d1, d2 = w[dead].sum(), (w[dead][:, None] * zz[dead]).sum(0), (w[dead][:, None, None] * zz[dead][:, :, None] * zz[dead][:, None, :]).sum(0)
-                ll += eta[dead].sum()
-                g += zz[dead].sum(0)
-                mean = np.zeros(p)
-                for k in range(m):
-                    f = k / m
-                    a0, a1, a2 = s0[first] - f * d0, s1[first] - f * d1, s2[first] - f * d2
-                    ll -= np.log(a0) + top
-                    e = a1 / a0
-                    mean += e / m
-                    g -= e
-                    h -= a2 / a0 - np.outer(e, e)
-                if residuals:
-                    res += [(t, zz[i] - mean) for i in dead]
+            w = np.exp(eta - top)
+            begin = np.cumsum(m) - m
+            s0, s1, s2 = (np.cumsum(v[..., ::-1], axis=-1)[..., ::-1] for v in sums(w, zz, first))  # at risk
+            d0, d1, d2 = sums(w[dead], zz[:, dead], begin)
+            at = np.repeat(np.arange(len(m)), m)
+            f = (np.arange(len(at)) - begin[at]) / m[at]
+            a0 = s0[at] - f * d0[at]
+            e = (s1[:, at] - f * d1[:, at]) / a0
+            ll += eta[dead].sum() - np.log(a0).sum() - top * len(at)
+            g += zz[:, dead].sum(1) - e.sum(1)
+            a2 = np.zeros((p, p))
+            a2[up, low] = s2 @ np.add.reduceat(1 / a0, begin) - d2 @ np.add.reduceat(f / a0, begin)
+            h += e @ e.T - (a2 + np.triu(a2, 1).T)
+            if residuals:
+                mean = np.add.reduceat(e, begin, axis=1) / m
+                res.append((times[at], (zz[:, dead] - mean[:, at]).T))
         return ll, g, h, res
 
     def penalised(b: np.ndarray):
@@ -275,7 +285,7 @@ def cox_kernel(x: np.ndarray, time: np.ndarray, event: np.ndarray, penalizer: fl
             break
     cov = np.linalg.pinv(-h * n)
     _, _, _, res = parts(b, True)
-    return {"beta": b / sd, "se": np.sqrt(np.maximum(np.diag(cov), 0)) / sd, "loglik": ll, "loglik0": ll0, "residuals": np.array([r for _, r in res]).reshape(-1, p), "res_times": np.array([t for t, _ in res]), "cov": cov}
+    return {"beta": b / sd, "se": np.sqrt(np.maximum(np.diag(cov), 0)) / sd, "loglik": ll, "loglik0": ll0, "residuals": np.concatenate([r for _, r in res] or [np.zeros((0, p))]), "res_times": np.concatenate([t for t, _ in res] or [np.zeros(0)]), "cov": cov}
 
 
 COX_SCHEMA = "term string, beta double, se double, hazard_ratio double, z double, p double, n long, events long, loglik double, lr_p double, ph_chi2 double, ph_p double, error string"

@@ -313,6 +313,30 @@ def test_centroids(spark):
             assert got[i]["predicted"] == d.argmin() and got[i]["distance"] == pytest.approx(d.min(), abs=1e-6)
 
 
+def test_cox_does_not_loop_over_events():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60_000, 5))
+    t = np.ceil(rng.exponential(2000 * np.exp(-0.5 * x[:, 0])))
+    began = time.process_time()
+    k = survival.cox_kernel(x, t, rng.integers(0, 2, len(x)), 0.01, 0.5)
+    assert time.process_time() - began < 15 and k["beta"][0] == pytest.approx(0.5, abs=0.05) and np.abs(k["beta"][1:]).max() < 0.03
+
+
+def test_factorisation_by_blocks_equals_plain_updates(monkeypatch):
+    monkeypatch.setattr("cohortloom.operators.factorise.BLOCK", 7)
+    x = np.random.default_rng(4).random((50, 6))
+    w, h, err = factorise.nmf_kernel(x, 3, 5, steps=40, tol=0.0)
+    rng, scale = np.random.default_rng(5), np.sqrt(x.mean() / 3)
+    w0, h0 = scale * rng.random((50, 3)) + 1e-6, scale * rng.random((3, 6)) + 1e-6
+    for _ in range(40):
+        h0 *= (w0.T @ x) / (w0.T @ w0 @ h0 + 1e-12)
+        w0 *= (x @ h0.T) / (w0 @ h0 @ h0.T + 1e-12)
+    assert np.allclose(w, w0, atol=1e-10) and np.allclose(h, h0, atol=1e-10) and err == pytest.approx(np.linalg.norm(x - w0 @ h0))
+    got = factorise.nnls_kernel(h0, x)
+    gap = (got @ h0 - x) @ h0.T  # 0 where the weight is positive, else not negative
+    assert got.min() >= 0 and gap.min() > -1e-6 and np.abs(gap[got > 1e-9]).max() < 1e-6
+
+
 def test_weighted_concordance_and_composite_risk(spark):
     rng = np.random.default_rng(8)
     n = 300
