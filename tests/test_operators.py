@@ -427,6 +427,24 @@ def test_trees_without_distance_matrix():
     assert factorise.cophenetic_of_runs(np.array([[0, 0, 1, 1]] * 3)) == pytest.approx(1.0)
 
 
+def test_tree_of_label_vectors_looks_at_few_pairs(monkeypatch):
+    rng = np.random.default_rng(10)
+    runs, weight = 30, np.sqrt(1 + 0.3 * rng.random(30))  # different weights: no ties
+    x = rng.normal(size=(5000, 4))
+    vectors = np.array([(x @ rng.normal(size=4) > c).astype(int) + (x @ rng.normal(size=4) > c) for c in rng.normal(size=runs)])
+    kinds, count = np.unique(vectors.T, axis=0, return_counts=True)
+    hot = np.concatenate([np.equal.outer(kinds[:, r], np.unique(kinds[:, r])) * weight[r] for r in range(runs)], axis=1) / np.sqrt((weight**2).sum())
+    lists = [(bound / (weight**2).sum() * (weight**2).min() * runs, group, member) for bound, group, member in (factorise._equal_parts(kinds, p) for p in (3, 6))]
+    want, got = factorise.agglomerate(hot, count, "average"), factorise.agglomerate(hot, count, "average", shortlists=lists)
+    assert np.abs(np.sort(want[:, 2]) - np.sort(got[:, 2])).max() < 1e-12
+    for k in (2, 5, 40):
+        assert factorise.cut_tree(want, len(kinds), [k]).tolist() == factorise.cut_tree(got, len(kinds), [k]).tolist()
+    pairs, real = [], factorise._search
+    monkeypatch.setattr(factorise, "_search", lambda c, s, line, rows, among, *a: pairs.append(len(rows) * len(c if among is None else among)) or real(c, s, line, rows, among, *a))
+    factorise.cophenetic_of_runs(vectors)
+    assert len(kinds) >= factorise.LEAST_KINDS and sum(pairs) < len(kinds) ** 2 / 2  # all rounds over all clusters: more than one square
+
+
 def test_consensus_pac_equals_pairs(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(45, 3))
