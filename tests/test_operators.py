@@ -337,6 +337,45 @@ def test_factorisation_by_blocks_equals_plain_updates(monkeypatch):
     assert got.min() >= 0 and gap.min() > -1e-6 and np.abs(gap[got > 1e-9]).max() < 1e-6
 
 
+def test_descent_gets_closer_in_fewer_steps_than_updates():
+    x = np.random.default_rng(4).gamma(2.0, size=(20_000, 8))
+    for k in (3, 5):
+        w, h, err = factorise.nmf_descent(x, k, 42000)
+        assert err <= factorise.nmf_descent(x, k, 42000, steps=100)[2] < factorise.nmf_kernel(x, k, 42000)[2]
+        assert min(w.min(), h.min()) >= 0 and err == pytest.approx(np.linalg.norm(x - w @ h))
+        for gap, v in (((w @ h - x) @ h.T, w), (w.T @ (w @ h - x) / len(x), h)):  # 0 where a factor is positive, else not negative
+            assert gap.min() > -0.05 and np.abs(gap * v).mean() < 0.01
+    for n, m, k in ((1, 4, 2), (5, 4, 3), (40, 6, 6)):  # fewer rows than components, one row
+        small = np.random.default_rng(n).random((n, m))
+        w, h, err = factorise.nmf_descent(small, k, 1)
+        assert np.isfinite(err) and err <= np.linalg.norm(small - small.mean()) and err == pytest.approx(np.linalg.norm(small - w @ h))
+
+
+@pytest.mark.parametrize("limits", [(1_000_000, 100), (0, 0)])
+def test_wide_scores_and_scaling_equal_the_long_ones(spark, monkeypatch, limits):
+    monkeypatch.setattr(scoring, "MAX_KEYS", limits[0])
+    monkeypatch.setattr(scoring, "MAX_NAMED", limits[1])
+    rng = np.random.default_rng(9)
+    rows = [(f" g{j}" if i % 5 == 0 else f"G{j}", f"s{i:02d}", float(np.round(rng.normal(), 2))) for i in range(40) for j in range(7) if (i + j) % 9]
+    rows += [(f"g{j}", "pool", float(np.round(rng.normal(), 1))) for j in range(7) for _ in range(j + 1)]  # 1 to 7 values of a gene
+    rows += [("G1", "s01", float("nan")), ("G1", "s02", None), ("G9", "only_other", 1.0), ("G6", "only_f", 2.0), ("---", "s03", 1.0), ("G2", None, 1.0)]
+    e = spark.createDataFrame(rows, "gene string, sample_id string, value double")
+    by = lambda d: {tuple(r)[:2]: r["value"] for r in d.select("gene", "sample_id", "value").collect()}
+    assert by(scoring.staged_expression(e)) == by(scoring.clean_expression(e))
+    for more in ([], [("unmeasured", ["NO"])]):  # with it every sample has a score
+        sets = spark.createDataFrame([("a", ["G0", "g1 "]), ("b", ["G2", "G3", "G4"]), ("const", ["G5"]), ("f", ["G6"]), *more], "name string, genes array<string>")
+        names = ["b", "a", *[n for n, _ in more], "absent"]
+        long = scoring.mean_z(scoring.clean_expression(e), sets).withColumn("score", F.round("score", 6))
+        want = scoring.wide_scores(long, names, prefix="")
+        got = scoring.wide_mean_z(scoring.staged_expression(e), sets, names)
+        assert got.columns == want.columns and {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+        x, kept = scaling.wide_cluster_input(got, "sample_id", names)
+        whole = scaling.cluster_input(want.unpivot("sample_id", names, "set_name", "score"), "sample_id", "set_name", "score").collect()
+        assert set(kept) == {r["set_name"] for r in whole} == {"a", "b"}
+        flat = {(r["sample_id"], n): r[n] for r in x.collect() for n in kept}
+        assert flat == pytest.approx({(r["sample_id"], r["set_name"]): r["x"] for r in whole})
+
+
 def test_weighted_concordance_and_composite_risk(spark):
     rng = np.random.default_rng(8)
     n = 300
