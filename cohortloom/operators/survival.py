@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cohortloom.functions.special import chi2_sf, norm_sf2
-from cohortloom.operators.resampling import poisson_bootstrap
+from cohortloom.operators.resampling import poisson_weights, replicates
 from cohortloom.session import ratio
 
 
@@ -137,33 +137,35 @@ def concordance(df: DataFrame, time: str, event: str, risk: str, by: Sequence[st
 
 def pair_counts(time: np.ndarray, risk: np.ndarray, events: np.ndarray, total: np.ndarray) -> tuple:
     """Concordant, tied and comparable pairs of rows that stand for ``total`` rows with ``events`` among them, in n log(n): a pair of
-    unequal times is counted at the highest bit in which the ranks of its times differ. Rows stay sorted by (higher bits, risk)."""
+    unequal times is counted at the highest bit in which the ranks of its times differ. Rows stay sorted by (higher bits, risk).
+    ``events`` and ``total`` may have replicates as their first axis: the order is that of the rows, so it is found once for all."""
     if not len(time):
-        return 0, 0, 0
+        return (0, 0, 0) if total.ndim == 1 else tuple(np.zeros((3, len(total)), total.dtype))
     r = np.unique(risk, return_inverse=True)[1]
     order = np.argsort(r, kind="stable")
     t, r = np.unique(time, return_inverse=True)[1][order], r[order]
-    events, total = events[order], total[order]
+    events, total = events[..., order], total[..., order]
+    front = np.zeros((*total.shape[:-1], 1), total.dtype)
     at, n, zero, top = np.arange(len(r)), len(r), total.dtype.type(0), int(t.max())
     good = ties = pairs = zero
     for bit in range(top.bit_length() - 1, -1, -1):
         block, one = t >> (bit + 1), (t >> bit) & 1 == 1
-        late = np.concatenate([[zero], np.cumsum(np.where(one, total, zero))])
+        late = np.concatenate([front, np.cumsum(np.where(one, total, zero), axis=-1, dtype=total.dtype)], axis=-1)
         new = np.concatenate([[True], block[1:] != block[:-1]])
         tie = new | np.concatenate([[True], r[1:] != r[:-1]])
-        early = np.flatnonzero(~one & (events > 0))
+        early = np.flatnonzero(~one & (events > 0).reshape(-1, n).any(0))
         spans = []
         for first in (new, tie):  # where the early row's block, then its run of equal risks, begins and ends
             starts = at[first]
             which = (np.cumsum(first) - 1)[early]
-            spans += [late[starts[which]], late[np.append(starts[1:], n)[which]]]
-        w = events[early]
-        good += (w * (spans[2] - spans[0])).sum()
-        ties += (w * (spans[3] - spans[2])).sum()
-        pairs += (w * (spans[1] - spans[0])).sum()
+            spans += [late[..., starts[which]], late[..., np.append(starts[1:], n)[which]]]
+        w = events[..., early]
+        good = good + (w * (spans[2] - spans[0])).sum(-1)
+        ties = ties + (w * (spans[3] - spans[2])).sum(-1)
+        pairs = pairs + (w * (spans[1] - spans[0])).sum(-1)
         key = t >> bit
         move = np.argsort(key.astype(np.uint16) if top < 65536 else key, kind="stable")  # blocks fall in two
-        t, r, events, total = t[move], r[move], events[move], total[move]
+        t, r, events, total = t[move], r[move], events[..., move], total[..., move]
     return good, ties, pairs
 
 
@@ -173,14 +175,29 @@ def concordance_kernel(time: np.ndarray, event: np.ndarray, risk: np.ndarray, we
     return float((good + 0.5 * ties) / pairs) if pairs > 0 else None
 
 
-def bootstrap_concordance(df: DataFrame, row: str, time: str, event: str, risk: str, n: int, seed: int = 42) -> DataFrame:
-    """Harrell's C in ``n`` Poisson bootstrap replicates: rep, c_index. A replicate's rows are one task's."""
-    d = valid_outcomes(df, time, event).where(F.col(risk).isNotNull()).select(row, F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r"))
+#: Replicates that a task of ``bootstrap_concordance`` weighs at once, and rows times replicates beyond which it takes fewer at a time.
+REPLICATES, MAX_CELLS = 10, 4_000_000
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"rep": pdf["rep"].iloc[:1], "c_index": [concordance_kernel(*(pdf[c].to_numpy() for c in ("t", "e", "r", "weight")))]})
 
-    return poisson_bootstrap(d, row, n, seed).drop(row).groupBy("rep").applyInPandas(one, "rep int, c_index double")
+def bootstrap_concordance(df: DataFrame, row: str, time: str, event: str, risk: str, n: int, seed: int = 42) -> DataFrame:
+    """Harrell's C in ``n`` replicates of ``poisson_bootstrap``: rep, c_index. A task takes the rows once for several replicates,
+    draws their weights from the rows' hashes and sorts once for all of them."""
+    d = valid_outcomes(df, time, event).where(F.col(risk).isNotNull()).select(F.xxhash64(F.lit(seed), row).alias("h"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r"))
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, rows = int(pdf["batch"].iloc[0]) * REPLICATES, []
+        t, e, r, h = (pdf[c].to_numpy() for c in ("t", "e", "r", "h"))
+        step = max(1, MAX_CELLS // len(pdf))
+        reps = np.arange(first, min(n, first + REPLICATES))
+        for at in range(0, len(reps), step):
+            own = reps[at : at + step]
+            weight = np.stack([poisson_weights(h, int(rep)) for rep in own])
+            good, ties, pairs = pair_counts(t, r, np.where(e > 0, weight, 0), weight)
+            rows += [(rep, (g + 0.5 * x) / p if p > 0 else None) for rep, g, x, p in zip(own.tolist(), good.tolist(), ties.tolist(), pairs.tolist(), strict=True)]
+        return pd.DataFrame(rows, columns=["rep", "c_index"])
+
+    batches = -(-n // REPLICATES)
+    return replicates(d, batches, "batch").repartition(batches, "batch").groupBy("batch").applyInPandas(some, "rep int, c_index double")
 
 
 def composite_risk(df: DataFrame, time: str, event: str, factors: Sequence[str], clinical: Sequence[str], *, penalizer: float = 0.05, l1_ratio: float = 0.5, least_rows: int = 50) -> tuple[DataFrame, tuple[float, float]]:

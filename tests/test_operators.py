@@ -393,6 +393,28 @@ def test_weighted_concordance_and_composite_risk(spark):
     assert 90 <= (p["tertile"] == "low").sum() <= 110 and abs(p["risk"].mean()) < 1e-9
 
 
+def test_bootstrap_moves_no_row_for_each_replicate(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(f"S{i}", int(v), int(rng.random() < 0.6), float(np.round(rng.normal() - v / 20, 1))) for i, v in enumerate(rng.integers(1, 40, 200))]
+    d = spark.createDataFrame(rows, "id string, t long, e int, r double")
+    w = {(x["rep"], x["id"]): x["weight"] for x in resampling.poisson_bootstrap(d, "id", 37).collect()}
+    h = d.select("id", F.xxhash64(F.lit(42), "id").alias("h")).toPandas()
+    assert all(w.get((rep, i), 0) == v for rep in (0, 5, 36) for i, v in zip(h["id"], resampling.poisson_weights(h["h"].to_numpy(), rep), strict=True))
+    t, e, r = (np.array([x[i] for x in rows]) for i in (1, 2, 3))
+    want = {}
+    for rep in range(37):
+        weight = np.array([w.get((rep, x[0]), 0) for x in rows])
+        pair = (t[:, None] < t) * (e * weight)[:, None] * weight
+        want[rep] = ((pair * (r[:, None] > r)).sum() + 0.5 * (pair * (r[:, None] == r)).sum()) / pair.sum()
+    seen, real = [], survival.replicates
+    monkeypatch.setattr(survival, "replicates", lambda df, n, out="rep": seen.append(n) or real(df, n, out))
+    for cells in (4_000_000, 600):  # all of a task's replicates at once, and three
+        monkeypatch.setattr(survival, "MAX_CELLS", cells)
+        assert dict(survival.bootstrap_concordance(d, "id", "t", "e", "r", 37).collect()) == pytest.approx(want)
+    assert seen == [4, 4]  # copies of the rows: before, one a replicate
+    assert survival.bootstrap_concordance(d.where("t < 0"), "id", "t", "e", "r", 3).count() == 0
+
+
 def test_logrank_takes_every_group(spark):
     rows = [(g, t, 1 if t < 3 else 0) for g in range(1005) for t in (1 + g % 2, 3)]
     d = spark.createDataFrame(rows, "g int, t long, e int")
