@@ -27,10 +27,22 @@ def _measured(expr: DataFrame, gene: str = "gene", sample: str = "sample_id", va
     return d.where("value is not null and sample_id is not null and gene is not null and gene not in ('', 'NAN', '---')")
 
 
-def staged_expression(expr: DataFrame) -> DataFrame:
-    """``clean_expression``, staged with a sample's genes close to each other. The median of one or two values needs only the
-    least and the largest; only pairs of more unequal values (pooled samples) are looked up again for an exact median."""
-    d = _measured(expr).withColumn("part", F.pmod(F.xxhash64("gene"), F.lit(4)))  # no sample is one task's alone
+def _spelled(expr: DataFrame, gene_sets: DataFrame | None) -> DataFrame:
+    """``_measured`` by a table of the symbols' spellings, each cleaned once; of ``gene_sets`` only the genes in any set."""
+    names = expr.select(F.col("gene").alias("__raw")).distinct().withColumn("gene", F.upper(F.regexp_replace("__raw", r"\s+", "")))
+    names = names.where("gene not in ('', 'NAN', '---')")
+    if gene_sets is not None:
+        names = names.join(exploded_sets(gene_sets).select("gene"), "gene", "left_semi")
+    d = expr.select(F.col("gene").alias("__raw"), "sample_id", F.when(~F.isnan("value"), F.col("value")).alias("value")).where("value is not null and sample_id is not null")
+    return d.join(stage(names, "spellings"), "__raw").select("gene", "sample_id", "value")
+
+
+def staged_expression(expr: DataFrame, gene_sets: DataFrame | None = None) -> DataFrame:
+    """``clean_expression`` (of the genes in any of ``gene_sets``), staged with a sample's genes close to each other. The median of
+    one or two values needs only the least and the largest; only pairs of more unequal values (pooled samples) are looked up
+    again for an exact median."""
+    measured = _spelled(expr, gene_sets)
+    d = measured.withColumn("part", F.pmod(F.xxhash64("gene"), F.lit(4)))  # no sample is one task's alone
     few = d.repartition("sample_id", "part").groupBy("sample_id", "part", "gene").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("n") == 2, 0.5 * F.col("lo") + 0.5 * F.col("hi"))
     few = stage(few.select("gene", "sample_id", value.alias("value")), "expression")
@@ -39,8 +51,8 @@ def staged_expression(expr: DataFrame) -> DataFrame:
     if not n:
         return few
     pools = [r[0] for r in many.select("sample_id").distinct().limit(MAX_NAMED + 1).collect()]
-    d = expr.where(F.col("sample_id").isin(pools)) if len(pools) <= MAX_NAMED else expr
-    d = _measured(d).join(F.broadcast(many) if n <= MAX_KEYS else many, ["gene", "sample_id"], "left_semi")  # pairs that are counted, else a shuffle
+    d = measured.where(F.col("sample_id").isin(pools)) if len(pools) <= MAX_NAMED else measured
+    d = d.join(F.broadcast(many) if n <= MAX_KEYS else many, ["gene", "sample_id"], "left_semi")  # pairs that are counted, else a shuffle
     return few.where("value is not null").unionByName(stage(d.groupBy("gene", "sample_id").agg(F.median("value").alias("value")), "repeated"))
 
 
@@ -60,9 +72,15 @@ def mean_z(expr: DataFrame, gene_sets: DataFrame) -> DataFrame:
     return got.unionByName(samples.join(none, F.lit(True)).select("set_name", "sample_id", F.lit(0.0).alias("score")))
 
 
-def wide_mean_z(expr: DataFrame, gene_sets: DataFrame, names: Sequence[str]) -> DataFrame:
+def measured_samples(expr: DataFrame) -> DataFrame:
+    """The samples of ``clean_expression``."""
+    return _measured(expr).select("sample_id").distinct()
+
+
+def wide_mean_z(expr: DataFrame, gene_sets: DataFrame, names: Sequence[str], samples: DataFrame | None = None) -> DataFrame:
     """``wide_scores`` of ``mean_z`` (6 places): a row for each sample with any score, a column for each set of ``names``. One pass
-    over the expression for its genes' means, one for the scores; no rows of (set, sample) are formed."""
+    over the expression for its genes' means, one for the scores; no rows of (set, sample) are formed. ``samples``: all samples,
+    where ``expr`` has only the genes in sets; read only if a set without a measured gene gives each of them a score."""
     sets = exploded_sets(gene_sets)
     holds = {n: f"in_{i}" for i, n in enumerate(names)}
     member = sets.groupBy("gene").agg(*[F.max(F.col("set_name") == n).alias(c) for n, c in holds.items()])
@@ -71,9 +89,11 @@ def wide_mean_z(expr: DataFrame, gene_sets: DataFrame, names: Sequence[str]) ->
     seen = sets.join(genes.select("gene").withColumn("seen", F.lit(True)), "gene", "left").groupBy("set_name").agg(F.max(F.coalesce("seen", F.lit(False))).alias("seen"))
     none = {r["set_name"] for r in seen.where("not seen").collect()}  # sets without a measured gene score 0 in every sample
     z = F.coalesce((F.col("value") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")), F.when(F.col("m").isNotNull(), F.lit(0.0)))
-    d = expr.join(genes, "gene", "left" if none else "inner").withColumn("z", z)
-    score = {n: F.lit(0.0) if n in none else F.round(F.avg(F.when(F.col(c), F.col("z"))), 6) for n, c in holds.items()}
-    return d.groupBy("sample_id").agg(*[c.alias(n) for n, c in score.items()])
+    d = expr.join(genes, "gene").withColumn("z", z)
+    got = d.groupBy("sample_id").agg(*[F.round(F.avg(F.when(F.col(c), F.col("z"))), 6).alias(n) for n, c in holds.items()])
+    if none:
+        got = (expr.select("sample_id").distinct() if samples is None else samples).join(got, "sample_id", "left")
+    return got.select("sample_id", *[F.lit(0.0).alias(n) if n in none else n for n in names])
 
 
 def mean_z_sample_sd(expr: DataFrame, genes: Sequence[str], out: str = "score", least: int = 1) -> DataFrame:

@@ -23,7 +23,8 @@ def feature_frame(s: SparkSession, d: str) -> DataFrame:
 def discovery_frame(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     """One row a sample, scaled for clustering and factorisation (medians for nulls, robust z, near-constant signatures left
     out, clipped), staged; and the signatures that are kept."""
-    wide = stage(scoring.wide_mean_z(scoring.staged_expression(table(s, d, "expr")), table(s, d, "gene_sets"), FEATURES), "scores")
+    expr, sets = table(s, d, "expr"), table(s, d, "gene_sets")
+    wide = stage(scoring.wide_mean_z(scoring.staged_expression(expr, sets), sets, FEATURES, scoring.measured_samples(expr)), "scores")
     x, names = scaling.wide_cluster_input(wide, "sample_id", FEATURES)
     return stage(x, "samples"), names
 

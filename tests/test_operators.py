@@ -376,6 +376,18 @@ def test_wide_scores_and_scaling_equal_the_long_ones(spark, monkeypatch, limits)
         assert flat == pytest.approx({(r["sample_id"], r["set_name"]): r["x"] for r in whole})
 
 
+def test_wide_scores_of_the_genes_in_sets_only(spark):
+    rng = np.random.default_rng(19)
+    rows = [(f"g {j}" if i % 3 else f"\tG{j}", f"s{i % 30}", float(np.round(rng.normal(), 2))) for i in range(50) for j in range(6)]
+    e = spark.createDataFrame([*rows, ("g9", "only_other", 1.0), ("g2", "s1", float("nan")), (None, "s1", 1.0)], "gene string, sample_id string, value double")
+    few = spark.createDataFrame([("a", ["G0", "g1 "]), ("b", ["G2"]), ("other", ["G3"])], "name string, genes array<string>")
+    assert {r[0] for r in scoring.staged_expression(e, few).select("gene").distinct().collect()} == {"G0", "G1", "G2", "G3"}
+    for sets in (few, few.union(spark.createDataFrame([("none", ["NO"])], few.schema))):  # with it each sample has a score
+        want = scoring.wide_mean_z(scoring.clean_expression(e), sets, ["a", "b", "none"])
+        got = scoring.wide_mean_z(scoring.staged_expression(e, sets), sets, ["a", "b", "none"], scoring.measured_samples(e))
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 30 + (sets is not few)
+
+
 def test_weighted_concordance_and_composite_risk(spark):
     rng = np.random.default_rng(8)
     n = 300
